@@ -164,3 +164,33 @@ def window_hashes(word: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+# ------------------------------------------------------------------ fixed-size id filters
+#: Bits of an id filter; its size does not depend on the data.
+FILTER_BITS = 1 << 25
+_BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap with the bit of each id: no id is missed, some others pass, its size is fixed."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # Spark counts buckets and positions from 1
+    rows = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros((FILTER_BITS // _BITMAP_BITS, _BITMAP_BITS // 8), np.uint8)
+    for r in rows:
+        out[r["bucket"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def in_filter(df: DataFrame, key: str, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows of df whose key the filter lets through (or the other rows)."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    columns = df.columns
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column(len(columns)).to_numpy()
+            hit = (shared.value[bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
+            yield batch.select(columns).filter(pa.array(hit == inside))
+
+    return df.withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(pick, df.schema)
