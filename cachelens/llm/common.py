@@ -172,9 +172,20 @@ FILTER_BITS = 1 << 25
 _BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
+def python_bit(column: str) -> Column:
+    """The bit that `hits` looks at: the low bits of the number itself (for hashes)."""
+    return F.col(column).bitwiseAND(FILTER_BITS - 1)
+
+
+def hits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """True for hashes that a filter made with python_bit lets through."""
+    bit = values & (FILTER_BITS - 1)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
+def id_filter(ids: DataFrame, bit: Column | None = None) -> np.ndarray:
     """A bitmap with the bit of each id: no id is missed, some others pass, its size is fixed."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # Spark counts buckets and positions from 1
+    bit = (F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) if bit is None else bit) + 1  # Spark counts buckets and positions from 1
     rows = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     out = np.zeros((FILTER_BITS // _BITMAP_BITS, _BITMAP_BITS // 8), np.uint8)
     for r in rows:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cachelens.llm import near_dedup, packing, substring_dedup, toxicity
+from cachelens.llm import decontamination, near_dedup, packing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_packing": packing.op10_packing,
 }

@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
 Words are runs of letters, ASCII lower-cased.  A word's input is the vector of that word (one for all words
-outside a vocabulary of at most BUCKETS words) and the mean of hashed vectors of its character trigrams.  Windows of 32 words, each overlapping the next by 8,
+outside a vocabulary of at most BUCKETS words) and the mean of hashed vectors of its character four-grams.  Windows of 32 words, each overlapping the next by 8,
 cover every whole text; a document's logit is that of its worst window, calibrated by Platt scaling.
 
 Training (numpy, on the driver) uses at most `sample` labelled documents of at most `chars`
@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 
 from cachelens.llm import common as C
 
-WINDOW, STRIDE, HIDDEN, EMBED, BUCKETS = 32, 24, 8, 8, 4096
+WINDOW, STRIDE, HIDDEN, EMBED, BUCKETS, GRAMS = 32, 24, 8, 8, 4096, 1 << 15
 SAMPLE, SAMPLE_CHARS, THRESHOLD = 3000, 20_000, 0.3
-#: Standard errors by which a word's share of toxic documents must differ from that of clean ones,
-#: and the share of the clearest word's difference that it must reach.
-SIGNIFICANT, CLEAREST = 4.0, 0.3
+#: Natural logarithm of how much rarer than one chance finding a telling word or four-gram must be.
+SURE = -1.0
 F32 = np.float32
 
 
@@ -51,7 +50,7 @@ def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Lexicon:
-    """The distinct words of a block: word bucket and character trigram buckets."""
+    """The distinct words of a block: rows of its vector and of its four-grams'."""
 
     bucket: np.ndarray
     grams: np.ndarray
@@ -69,7 +68,9 @@ def lexicon(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, net: Network
     own = data[at].astype(np.uint32)
     before = np.where(head, 0, data[np.maximum(at - 1, 0)]).astype(np.uint32)
     after = np.where(tail, 0, data[np.minimum(at + 1, len(data) - 1)]).astype(np.uint32)
-    grams = ((before << 16 | own << 8 | after) * np.uint32(0x9E3779B1)) >> np.uint32(20)
+    end = tail | np.r_[tail[1:], True]
+    beyond = np.where(end, 0, data[np.minimum(at + 2, len(data) - 1)]).astype(np.uint32)
+    grams = ((before << 24 | own << 16 | after << 8 | beyond) * np.uint32(0x9E3779B1)) >> np.uint32(17)
     return Lexicon(word_rows(distinct, net.vocabulary), net.grams[grams], begin, code)
 
 
@@ -85,14 +86,14 @@ def word_rows(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 class Network:
     p: dict[str, np.ndarray] = field(default_factory=dict)
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    grams: np.ndarray = field(default_factory=lambda: np.arange(BUCKETS))
+    grams: np.ndarray = field(default_factory=lambda: np.arange(GRAMS))
     scale: float = 1.0
     shift: float = 0.0
 
     @classmethod
     def new(cls, rng: np.random.Generator) -> Network:
         r = lambda *s, k=0.3: (rng.standard_normal(s) * k).astype(F32)
-        p = {"word": r(BUCKETS, EMBED), "char": r(BUCKETS, EMBED, k=0.1), "att": r(2 * HIDDEN), "out": r(2 * HIDDEN), "bias": np.full(1, -2, F32)}
+        p = {"word": r(BUCKETS, EMBED), "char": r(GRAMS, EMBED, k=0.1), "att": r(2 * HIDDEN), "out": r(2 * HIDDEN), "bias": np.full(1, -2, F32)}
         for d in "fb":
             p |= {f"{d}W": r(2 * EMBED, 3 * HIDDEN), f"{d}U": r(HIDDEN, 3 * HIDDEN), f"{d}b": np.zeros(3 * HIDDEN, F32)}
         return cls(p)
@@ -215,11 +216,10 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, passes: int = 2,
     lone[list(openings.values())] = True
     pairs = np.unique((lex.code * (len(texts) + 1) + word_doc)[lone[word_doc]])
     has = [np.bincount(pairs // (len(texts) + 1), toxic[pairs % (len(texts) + 1)] == k, len(lex.bucket)) for k in (0, 1)]
-    # vectors of their own only for words and trigrams that tell the labels apart by more than chance:
+    # vectors of their own only for words and four-grams that tell the labels apart by more than chance:
     # the others share one, so that a small sample can't be learned by heart
-    distinct_z = _significance(*has, toxic[lone])
-    best = np.argsort(-distinct_z, kind="stable")[: BUCKETS - 1]
-    net.vocabulary = np.sort(distinct[best[distinct_z[best] >= max(SIGNIFICANT, CLEAREST * distinct_z.max())]])
+    telling = np.flatnonzero(_telling(*has, toxic[lone]))
+    net.vocabulary = np.sort(distinct[telling[np.argsort(-has[1][telling], kind="stable")[: BUCKETS - 1]]])
     gram_word = np.repeat(np.arange(len(lex.begin)), np.diff(np.r_[lex.begin, len(lex.grams)]))
     of_word = np.unique(lex.grams * np.int64(len(lex.begin)) + gram_word)
     gram, word_of = of_word // len(lex.begin), of_word % len(lex.begin)
@@ -229,9 +229,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, passes: int = 2,
     lo, hi = np.searchsorted(word_of, pair_word), np.searchsorted(word_of, pair_word, side="right")
     grams = gram[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())]
     seen = np.unique(grams * (len(texts) + 1) + np.repeat(pair_doc, hi - lo))
-    counts = [np.bincount(seen // (len(texts) + 1), toxic[seen % (len(texts) + 1)] == k, BUCKETS) for k in (0, 1)]
-    gram_z = _significance(*counts, toxic[lone])
-    net.grams = np.where(gram_z >= max(SIGNIFICANT, CLEAREST * gram_z.max()), np.arange(BUCKETS), 0)
+    counts = [np.bincount(seen // (len(texts) + 1), toxic[seen % (len(texts) + 1)] == k, GRAMS) for k in (0, 1)]
+    net.grams = np.where(_telling(*counts, toxic[lone]), np.arange(GRAMS), 0)
     lex = lexicon(data, starts, ends, net)
     odds = np.log((has[1] + 0.1) / (toxic.sum() + 0.2)) - np.log((has[0] + 0.1) / ((1 - toxic).sum() + 0.2))
     run = np.r_[0, np.cumsum(np.maximum(odds, 0)[lex.code] ** 2)]
@@ -271,13 +270,17 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, passes: int = 2,
     return net
 
 
-def _significance(clean: np.ndarray, toxic: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Standard errors between the shares of toxic and clean documents that have each word; 0 below three."""
-    n1 = labels.sum()
-    n0 = len(labels) - n1
-    share = np.clip((clean + toxic) / len(labels), 1e-9, 1 - 1e-9)
-    z = np.abs(toxic / n1 - clean / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    return np.where(clean + toxic >= 3, z, 0)
+def _telling(clean: np.ndarray, toxic: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """True for features whose share of toxic documents is beyond chance among so many features.
+
+    By the Chernoff bound, n documents with a share q of toxic ones where p is usual come up with
+    a chance of at most exp(-n * KL(q || p)); SURE is asked for on top of the number of features.
+    """
+    n, p = clean + toxic, labels.mean()
+    q = toxic / np.maximum(n, 1)
+    log = lambda x: np.log(np.maximum(x, 1e-12))
+    bound = n * (q * (log(q) - log(p)) + (1 - q) * (log(1 - q) - log(1 - p)))
+    return (q > p) & (bound >= np.log(max((n > 0).sum(), 1)) + SURE)
 
 
 def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
