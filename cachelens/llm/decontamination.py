@@ -2,7 +2,7 @@
 
 Texts become sequences of typed tokens: numbers (digits or number words), units of measure and
 names (capitalised words inside a sentence) turn into placeholders, other words are literal and
-ASCII lower-cased.  Windows of `window` tokens of the benchmark's templates are hash-joined with
+lower-cased (ASCII and Latin-1).  Windows of `window` tokens of the benchmark's templates are hash-joined with
 those of the documents, so a question with other numbers, names or units still meets its original.
 
 Slots are then checked for consistency: within a window equal values must stay equal and different
@@ -47,6 +47,11 @@ def _one_of(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a text block: template code and value of each token, whether it is a slot, first token of each document."""
     data = C.lower_ascii(raw)
+    capital = (raw >= 65) & (raw <= 90)
+    if len(data) > 1:  # the capitals of Latin-1, two bytes in UTF-8
+        wide = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97))
+        data[wide + 1] += 32
+        capital[wide] = capital[wide + 1] = True
     digit = (data >= 48) & (data <= 57)
     if len(data) > 2:
         joint = np.zeros(len(data), bool)
@@ -62,13 +67,13 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     value = C.span_hashes(data, starts, ends)
     number |= _one_of(value, _NUMBERS)
     unit = _one_of(value, _UNITS) & ~number
-    # a name: capitalised, of two letters or more, and the last character before it that is not a space is a letter, digit or comma
+    # a name: capitalised but not in capitals, of two letters or more, and the last character before it that is not a space is a letter, digit or comma
     space = (data == 32) | (data == 34) | (data == 39) | (data == 40)
     back = np.maximum.accumulate(np.where(space, -1, np.arange(len(data))))
     before = back[np.maximum(starts - 1, 0)]
     opening = np.isin(np.arange(len(starts)), first) | (before < 0)
     inside = ~opening & (letter | digit | (data == 44) | (data == 45))[np.maximum(before, 0)]
-    name = (raw[starts] >= 65) & (raw[starts] <= 90) & (ends - starts >= 2) & inside & ~number & ~unit if len(starts) else np.zeros(0, bool)
+    name = capital[starts] & (ends - starts >= 2) & ~capital[ends - 1] & inside & ~number & ~unit if len(starts) else np.zeros(0, bool)
     code = np.where(number, _TYPES[0], np.where(unit, _TYPES[1], np.where(name, _TYPES[2], value)))
     return code, value, number | unit | name, first
 

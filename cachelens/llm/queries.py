@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cachelens.llm import decontamination, near_dedup, packing, substring_dedup, toxicity
+from cachelens.llm import decontamination, language_id, near_dedup, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op8_language_id": language_id.op8_language_id,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_packing": packing.op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE}
