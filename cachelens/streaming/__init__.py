@@ -1 +1 @@
-
+"""Structured Streaming forms of the time-series and policy operators."""

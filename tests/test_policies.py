@@ -1,0 +1,57 @@
+"""Fixed sequences of the sequential policies, in batch and as streams."""
+
+import pytest
+
+from cachelens.operators import policy as P
+from cachelens.plans.registry import QUERIES
+
+T, N = True, False
+
+
+@pytest.mark.parametrize(("percent", "sizes", "admit"), [
+    (50, [64, 80, 79, 41], [T, T, T, T]),
+    (50, [64, 5, 5, 5, 4], [T, N, N, T, T]),
+    (50, [64, 5, 63, 5, 5, 5], [T, N, T, N, N, T]),
+    (50, [64, 0, 0, 0, 64], [T, N, N, T, T]),
+    (0, [64, 1, 500, 0], [T, T, T, N]),
+])
+def test_view_guard(percent, sizes, admit):
+    g = P.ViewGuard(percent=percent)
+    assert [g.step(s) for s in sizes] == admit
+
+
+def test_breaker():
+    b = P.Breaker(base=100, most=800)
+    assert [b.step(t, "bad") for t in (1000, 2000, 3000, 4000, 5000)] == [100, 200, 400, 800, 800]
+    assert b.step(5100, "good") == 0
+    assert b.step(5200, "bad") == 0, "served a moment ago: busy, not dead"
+    assert b.step(6200, "bad") == 100
+    c = P.Breaker(base=1000)
+    assert [c.step(5000, "bad"), c.step(5999, "ask"), c.step(6000, "ask")] == [1000, 1, 0]
+
+
+def test_quota_gate():
+    g = P.QuotaGate(10)
+    assert [g.step("1", 6), g.step("2", 6), g.step("1", 7), g.step("3", 4), g.step("4", 0)] == ["ok", "quota_exceeded", "ok", "ok", "invalid"]
+    assert g.used == 10
+
+
+def test_clock_and_lru():
+    c = P.Clock(10)
+    assert [c.step("a", 5), c.step("b", 5), c.step("a", 5), c.step("c", 5)] == [0, 0, -1, 1]
+    assert set(c.ring) == {"a", "c"}
+    assert P.Clock(1).step("huge", 50) == 0, "the last entry stays"
+    lru = P.Lru(2)
+    assert [lru.step(k) for k in "abacb"] == [N, N, T, N, N]
+
+
+def test_heat_and_ewma():
+    h = P.Heat()
+    assert [h.step(0), h.step(64), h.step(64 * 200)] == [1024, 1536, 1024]
+    e = P.Ewma()
+    assert [e.step(80), e.step(0), e.step(0)] == [80, 70, 61]
+
+
+def test_stream_equals_batch(spark, sf_dir):
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, sf_dir).select("peer", "t_ms", "kind", "seq", "cooldown_ms").collect()))
+    assert rows("j6_breaker") == rows("j6_breaker_stream")
