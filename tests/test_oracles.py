@@ -21,9 +21,11 @@ def duck(sf_dir):
 
 def normal(df: pd.DataFrame) -> list:
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
-        return format(float(v), ".6g") if isinstance(v, float) else str(v)
+        if isinstance(v, float):
+            return str(int(v)) if v == int(v) and abs(v) < 1e15 else format(v, ".6g")
+        return str(v)
 
     df = df[sorted(df.columns)]
     return sorted(tuple(map(text, r)) for r in df.itertuples(index=False, name=None))
