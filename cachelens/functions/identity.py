@@ -96,3 +96,24 @@ def clamp_range(size: Column, offset: Column, length: Column) -> Column:
     """Bytes that a range read returns: null beyond the end; length 0 asks for the rest."""
     rest = size - offset
     return F.when(offset > size, None).when(length == 0, rest).otherwise(F.least(length, rest))
+
+
+# Fixed value: mark of layout fingerprints.
+LAYOUT_DOMAIN = "DFKVLAYOUT1"
+
+
+def layout_fingerprint(layout: Column, fields: dict[str, Column]) -> Column:
+    """16 hex digits of a layout's typed fields, sorted by name; fields are text like `int:8` or `str:bf16`."""
+    parts = [F.lit(LAYOUT_DOMAIN).cast("binary"), framed(layout)]
+    for name, value in sorted(fields.items()):
+        parts += [framed(F.lit(name)), framed(value)]
+    digest = F.sha2(F.concat(*parts), 256)
+    word = F.concat(*(F.substring(digest, 2 * i + 1, 2) for i in range(7, -1, -1)))
+    return F.when(word == "0" * 16, "0" * 15 + "1").otherwise(word)
+
+
+def participant(rank: Column, size: Column, effective: Column) -> Column:
+    """Stripe of a rank among `effective` evenly spaced storing ranks; null if it does not store."""
+    spacing = F.floor(size / effective)
+    index = F.floor(rank / spacing)
+    return F.when((rank % spacing == 0) & (index < effective), index)
