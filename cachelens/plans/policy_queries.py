@@ -136,3 +136,43 @@ def inflight(spark: SparkSession, d: str) -> DataFrame:
     """Puts of a peer in flight at each put (they take 20 minutes here), by one ordered window."""
     w = Window.partitionBy("peer").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-20 * 60 * 1_000_000 + 1, 0)
     return V.ops(spark, d).where("op = 'put'").select("event_id", F.count("*").over(w).alias("inflight"))
+
+
+def _timed(ops: DataFrame) -> DataFrame:
+    return ops.withColumn("t", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("took", F.round(F.col("seconds") * 50_000_000).cast("long"))
+
+
+@Q.add("j11_read_coalescing")
+def coalescing(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of one object that overlap share one flight (reads take 50,000 times longer here)."""
+    o = _timed(V.ops(spark, d).where("op = 'get'")).select("object_key", "event_id", "t", "took")
+    return P.replay(o, ["object_key"], ["t", "event_id"], P.Coalescer, ["t", "took"], "role", "string")
+
+
+@Q.add("j13_rendezvous")
+def rendezvous(spark: SparkSession, d: str) -> DataFrame:
+    o = _timed(V.ops(spark, d).where("op = 'get'")).select("object_key", "event_id", "t", "took")
+    return P.replay(o, ["object_key"], ["t", "event_id"], lambda: P.Rendezvous(ttl=86_400_000), ["t", "took"], "answer", "string")
+
+
+@Q.add("j8_rail_admission")
+def rail(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("status") == "error", "local_error").when(F.col("op") == "put", "ok").when(F.col("op") == "remove", "endpoint_error").otherwise("ask")
+    o = _timed(V.ops(spark, d)).select("peer", "event_id", "t", kind.alias("kind"))
+    return P.replay(o, ["peer"], ["t", "event_id"], lambda: P.Rail(errors=2, quarantine=3_600_000), ["t", "kind"], "state", "string")
+
+
+@Q.add("j5_log_throttle")
+def throttle(spark: SparkSession, d: str) -> DataFrame:
+    o = _timed(V.ops(spark, d)).select("peer", "event_id", "t", (F.col("status") == "error").alias("failed"))
+    return P.replay(o, ["peer"], ["t", "event_id"], lambda: P.Throttle(86_400_000), ["t", "failed"], "speaks", "boolean")
+
+
+@Q.add("j14_heartbeat_health", """SELECT event_id, count_if(status = 'error') OVER (PARTITION BY peer, run ORDER BY ts, event_id) AS failures, last_good FROM (SELECT *, count_if(status <> 'error') OVER (PARTITION BY peer ORDER BY ts, event_id) AS run,
+  max(event_id) FILTER (status <> 'error') OVER (PARTITION BY peer ORDER BY ts, event_id) AS last_good FROM ops)""", "ops")
+def heartbeat_health(spark: SparkSession, d: str) -> DataFrame:
+    """Failures in a row of each peer, and its last success."""
+    w = Window.partitionBy("peer").orderBy("ts", "event_id")
+    bad = F.col("status") == "error"
+    o = V.ops(spark, d).withColumn("run", F.count_if(~bad).over(w)).withColumn("last_good", F.max(F.when(~bad, F.col("event_id"))).over(w))
+    return o.select("event_id", F.count_if(bad).over(Window.partitionBy("peer", "run").orderBy("ts", "event_id")).alias("failures"), "last_good")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachelens.functions import identity as I
 from cachelens.plans import views as V
 from cachelens.plans.book import Book
+from cachelens.sources import codec as K
 from cachelens.sources import text as T
 
 Q = Book()
@@ -68,3 +69,40 @@ def slot_table(spark: SparkSession, d: str) -> DataFrame:
     # a corrupt record: its last byte, which is padding, is no longer 0
     rec = F.when(F.col("doc_id") % 5 == 1, F.concat(F.substring(good, 1, 63), F.unhex(F.lit("01")))).when(F.col("doc_id") % 5 == 2, F.unhex(F.lit("00" * 64))).otherwise(good)
     return T.parse_slots(keyed.select(F.explode(F.array(rec)).alias("record")), "record").groupBy("verdict").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+@Q.add("a3_membership_codec", "SELECT num, id, '10.0.0.' || num % 250 AS ip, 28000 + num % 100 AS port, weight, 27000 + num % 100 AS tcp_port, 'ver=' || ver AS info, has_stats, CASE WHEN has_stats THEN used_bytes END AS used_bytes, CASE WHEN has_stats THEN num * 3 END AS ram_hits_total FROM members WHERE num % 6 <> 5", "members")
+def membership_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Member records written and read back; every sixth is cut short and counts as malformed."""
+    m = V.members(spark, d)
+    given = {"capacity_bytes", "used_bytes", "objects", "hits_total", "misses_total", "evictions_total"}
+    stats = [F.when(F.col("has_stats"), F.col(s) if s in given else F.col("num") * 3 if s == "ram_hits_total" else F.lit(0)) for s in K.STATS]
+    rec = K.registration(F.col("id"), F.concat(F.lit("10.0.0."), F.col("num") % 250), 28000 + F.col("num") % 100, F.col("weight"), 27000 + F.col("num") % 100, F.concat(F.lit("ver="), "ver"), stats)
+    rec = m.select("num", F.when(F.col("num") % 6 == 5, F.substring(rec, 1, 15)).otherwise(rec).alias("record"))
+    out = K.parse_members_binary(rec, "record", ["num"]).where("not bad")
+    return out.select("num", "id", "ip", "port", "weight", "tcp_port", "info", "has_stats", "used_bytes", "ram_hits_total")
+
+
+@Q.add("a16_metric_payload", "SELECT connector, op, '{\"name\":\"cache_keys_total\",\"sum\":{\"aggregationTemporality\":2,\"isMonotonic\":true,\"dataPoints\":[{\"attributes\":[{\"key\":\"op\",\"value\":{\"stringValue\":\"' || op || '\"}}],\"asInt\":\"' || sum(keys)::BIGINT || '\"}]}}' AS payload FROM ops GROUP BY connector, op", "ops")
+def metric_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Cumulative sums as JSON of the telemetry protocol."""
+    o = V.ops(spark, d).groupBy("connector", "op").agg(F.sum("keys").alias("n"))
+    attributes = F.array(F.struct(F.lit("op").alias("key"), F.struct(F.col("op").alias("stringValue")).alias("value")))
+    points = F.array(F.struct(attributes.alias("attributes"), F.col("n").cast("string").alias("asInt")))
+    body = F.struct(F.lit("cache_keys_total").alias("name"), F.struct(F.lit(2).alias("aggregationTemporality"), F.lit(True).alias("isMonotonic"), points.alias("dataPoints")).alias("sum"))
+    return o.select("connector", "op", F.to_json(body).alias("payload"))
+
+
+@Q.add("a17_span_buffer", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY connector ORDER BY ts DESC, event_id DESC) AS n FROM ops WHERE status = 'error' OR seconds >= 0.1) WHERE n <= 20", "ops")
+def span_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Kept spans of each connector: failed or slow ones, the oldest dropped beyond twenty."""
+    w = Window.partitionBy("connector").orderBy(F.desc("ts"), F.desc("event_id"))
+    return V.ops(spark, d).where("status = 'error' or seconds >= 0.1").withColumn("n", F.row_number().over(w)).where("n <= 20").select("event_id")
+
+
+@Q.add("a1_prefix_scan", "SELECT key, split_part(key, '/', 4) AS grp FROM (SELECT '/v1/groups/' || grp || '/members/' || id AS key FROM members) WHERE starts_with(key, '/v1/groups/ASIA/')", "members")
+def prefix_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A prefix as a range, which Parquet can prune: from the prefix up to its successor."""
+    keys = V.members(spark, d).select(F.concat(F.lit("/v1/groups/"), "grp", F.lit("/members/"), "id").alias("key"))
+    prefix = "/v1/groups/ASIA/"
+    return keys.where((F.col("key") >= prefix) & (F.col("key") < T.prefix_successor(prefix))).select("key", F.split_part("key", F.lit("/"), F.lit(4)).alias("grp"))

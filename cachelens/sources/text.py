@@ -68,3 +68,11 @@ def parse_slots(df: DataFrame, column: str) -> DataFrame:
     mark, size, length = F.substring(h, 1, 8), little(12, 4), little(32, 4)
     verdict = F.when(F.octet_length(column) != 64, "rejected").when(mark == "00000000", "empty").when(mark != SLOT_MARK, "rejected").when(F.crc32(F.unhex(F.substring(h, 17, 112))) != little(4, 4), "corrupt").when((little(8, 4) != 1) | (length == 0) | (length > size), "rejected").otherwise("good")
     return df.withColumn("verdict", verdict).withColumn("slot_size", size).withColumn("length", length).withColumn("digest_hi", word(16))
+
+
+def prefix_successor(prefix: str) -> str:
+    """The least string above all that start with a prefix: its last character that has a successor, raised."""
+    for i in range(len(prefix) - 1, -1, -1):
+        if ord(prefix[i]) < 0x10FFFF:
+            return prefix[:i] + chr(ord(prefix[i]) + 1)
+    return "\U0010ffff"

@@ -55,3 +55,18 @@ def test_heat_and_ewma():
 def test_stream_equals_batch(spark, sf_dir):
     rows = lambda name: sorted(map(tuple, QUERIES[name](spark, sf_dir).select("peer", "t_ms", "kind", "seq", "cooldown_ms").collect()))
     assert rows("j6_breaker") == rows("j6_breaker_stream")
+
+
+def test_coalescer_and_rendezvous():
+    c = P.Coalescer()
+    assert [c.step(0, 10), c.step(5, 10), c.step(9, 1), c.step(10, 5)] == ["leader", "follower", "follower", "leader"]
+    r = P.Rendezvous(ttl=100)
+    assert [r.step(0, 10), r.step(5, 10), r.step(20, 10), r.step(100, 10)] == ["fetch", "wait", "hit", "fetch"]
+
+
+def test_rail_and_throttle():
+    r = P.Rail(errors=2, quarantine=100)
+    kinds = [(0, "local_error"), (1, "endpoint_error"), (2, "local_error"), (50, "ask"), (102, "ask"), (103, "ask"), (104, "local_error"), (205, "ask"), (206, "ok"), (207, "ask")]
+    assert [r.step(*k) for k in kinds] == ["open", "open", "closed", "closed", "probe", "closed", "closed", "probe", "open", "open"]
+    t = P.Throttle(30)
+    assert [t.step(0, T), t.step(10, T), t.step(30, T), t.step(31, N), t.step(32, T)] == [T, N, T, N, T]
