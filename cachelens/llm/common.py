@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 #: Rows up to which a side may be broadcast; `bounded_broadcast` counts before it hints.
 BROADCAST_ROWS = 200_000
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 1000
 #: Columns of the documents table.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -83,6 +85,8 @@ def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    del data, offsets, column
+    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -193,8 +197,8 @@ def id_filter(ids: DataFrame, bit: Column | None = None) -> np.ndarray:
     return out.ravel()
 
 
-def in_filter(df: DataFrame, key: str, bits: np.ndarray, inside: bool = True) -> DataFrame:
-    """Rows of df whose key the filter lets through (or the other rows)."""
+def in_filter(df: DataFrame, key: str, bits: np.ndarray, inside: bool = True, then=None, schema: str | None = None) -> DataFrame:  # noqa: ANN001
+    """Rows of df whose key the filter lets through (or the other rows), handed to `then` in the same Python worker."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
     columns = df.columns
 
@@ -204,4 +208,11 @@ def in_filter(df: DataFrame, key: str, bits: np.ndarray, inside: bool = True) ->
             hit = (shared.value[bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
             yield batch.select(columns).filter(pa.array(hit == inside))
 
-    return df.withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(pick, df.schema)
+    run = pick if then is None else lambda batches: then(pick(batches))
+    return small_batches(df).withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(run, schema or df.schema)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after setting its session to hand texts to Python in batches of BATCH_ROWS rows, which bounds a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df

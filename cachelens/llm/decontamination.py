@@ -122,7 +122,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most window - SHORTEST + 1 numbers
     bits = C.id_filter(items.select(F.col("hash").alias("id")), C.python_bit("id"))
     texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    found = texts.mapInArrow(_windows(sizes, literal, bits), _WINDOW_SCHEMA).select("hash", "key", "at", "slots")
+    found = C.small_batches(texts).mapInArrow(_windows(sizes, literal, bits), _WINDOW_SCHEMA).select("hash", "key", "at", "slots")
     pattern = lambda c: F.transform(c, lambda v: F.array_position(c, v))
     same = found.join(C.bounded_broadcast(items), "hash").where(pattern(F.col("slots")) == pattern(F.col("item_slots")))
     same = C.materialise(same.select("key", "item_id", "item_at", "item_tokens", "size", "slots", "item_slots"), "matches")

@@ -203,7 +203,7 @@ def label_texts(chain: Chain, column: pa.Array) -> tuple[list[str | None], np.nd
     n, k = len(column), len(chain.languages)
     lang: list[str | None] = [None] * n
     score, count, switches = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for lo, hi, data, offsets in C.text_blocks(column, 2 * C.BLOCK_BYTES):
+    for lo, hi, data, offsets in C.text_blocks(column):
         data, starts, ends, first = letter_words(data, offsets)
         size = np.diff(first)
         count[lo:hi] = size
@@ -239,7 +239,7 @@ def with_language(docs: DataFrame, chain: Chain) -> DataFrame:
             made = label_texts(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made[0], pa.string()), *map(pa.array, made[1:])], names=[*batch.schema.names, "lang_pred", "lang_score", "n_letter_words", "n_switches"])
 
-    out = docs.mapInArrow(label, docs.schema.simpleString()[len("struct<") : -1] + ",lang_pred:string,lang_score:double,n_letter_words:bigint,n_switches:bigint")
+    out = C.small_batches(docs).mapInArrow(label, docs.schema.simpleString()[len("struct<") : -1] + ",lang_pred:string,lang_score:double,n_letter_words:bigint,n_switches:bigint")
     known = F.col("lang_pred").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return out.withColumns({"lang_score": F.when(known, F.col("lang_score")).otherwise(0.0), "lang_pred": F.when(known, F.col("lang_pred")).otherwise("und")})
 

@@ -29,7 +29,7 @@ from cachelens.llm import common as C
 
 LENGTH, WINDOWS, END_ID, FAN_IN = 1024, 64, 0, 64
 #: Distinct pieces that a worker remembers between blocks.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _LEFT = _SCHEMA.append(pa.field("ids", pa.binary())).append(pa.field("part", pa.int64()))
@@ -232,7 +232,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, windows: in
         packer, encode = Packer(length, windows, out), _encoder(tokenizer_path)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in C.text_blocks(batch.column(1), 4 * C.BLOCK_BYTES):
+            for lo, hi, data, offsets in C.text_blocks(batch.column(1)):
                 tokens, first = encode(data, offsets)
                 for d in range(hi - lo):
                     packer.add(ids[lo + d], np.append(tokens[first[d] : first[d + 1]], np.uint32(end_id)))
@@ -255,7 +255,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, windows: in
 
     kind = PIECES + ", ids binary, part long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = C.materialise(rows.mapInArrow(packed, kind), "packed")
+    made = C.materialise(C.small_batches(rows).mapInArrow(packed, kind), "packed")
     done, left, turn = made.where("sequence_id is not null"), made.where("sequence_id is null"), 1
     while True:
         parts = left.agg(F.max("part")).first()[0]

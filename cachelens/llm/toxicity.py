@@ -223,13 +223,19 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, passes: int = 2,
     gram_word = np.repeat(np.arange(len(lex.begin)), np.diff(np.r_[lex.begin, len(lex.grams)]))
     of_word = np.unique(lex.grams * np.int64(len(lex.begin)) + gram_word)
     gram, word_of = of_word // len(lex.begin), of_word % len(lex.begin)
-    pair_word, pair_doc = pairs // (len(texts) + 1), pairs % (len(texts) + 1)
     order = np.argsort(word_of, kind="stable")
     gram, word_of = gram[order], word_of[order]
-    lo, hi = np.searchsorted(word_of, pair_word), np.searchsorted(word_of, pair_word, side="right")
-    grams = gram[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())]
-    seen = np.unique(grams * (len(texts) + 1) + np.repeat(pair_doc, hi - lo))
-    counts = [np.bincount(seen // (len(texts) + 1), toxic[seen % (len(texts) + 1)] == k, GRAMS) for k in (0, 1)]
+    counts = [np.zeros(GRAMS), np.zeros(GRAMS)]
+    wide = len(texts) + 1
+    pairs = pairs[np.argsort(pairs % wide, kind="stable")]
+    edges = np.searchsorted(pairs % wide, np.arange(0, len(texts) + 200, 200))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # 200 documents at a time, to bound memory
+        pair_word, pair_doc = pairs[a:b] // wide, pairs[a:b] % wide
+        lo, hi = np.searchsorted(word_of, pair_word), np.searchsorted(word_of, pair_word, side="right")
+        grams = gram[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())]
+        seen = np.unique(grams * wide + np.repeat(pair_doc, hi - lo))
+        for k in (0, 1):
+            counts[k] += np.bincount(seen // wide, toxic[seen % wide] == k, GRAMS)
     net.grams = np.where(_telling(*counts, toxic[lone]), np.arange(GRAMS), 0)
     lex = lexicon(data, starts, ends, net)
     odds = np.log((has[1] + 0.1) / (toxic.sum() + 0.2)) - np.log((has[0] + 0.1) / ((1 - toxic).sum() + 0.2))
@@ -316,7 +322,7 @@ def score_texts(net: Network, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
     """(score, number of windows, first word of the worst window or -1) of each text."""
     n = len(column)
     score, count, worst = np.empty(n), np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    for lo, hi, data, offsets in C.text_blocks(column, 4 * C.BLOCK_BYTES):
+    for lo, hi, data, offsets in C.text_blocks(column):
         logit = np.full(hi - lo, net.p["bias"][0], np.float64)
         data, starts, ends, first = letter_words(data, offsets)
         if len(starts):
@@ -347,7 +353,7 @@ def with_toxicity(docs: DataFrame, net: Network) -> DataFrame:
             made = score_texts(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], names=[*batch.schema.names, "toxicity", "toxicity_windows", "toxicity_worst"])
 
-    return docs.mapInArrow(score, docs.schema.simpleString()[len("struct<") : -1] + ",toxicity:double,toxicity_windows:bigint,toxicity_worst:bigint")
+    return C.small_batches(docs).mapInArrow(score, docs.schema.simpleString()[len("struct<") : -1] + ",toxicity:double,toxicity_windows:bigint,toxicity_worst:bigint")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
