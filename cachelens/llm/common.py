@@ -145,9 +145,20 @@ _BYTES, _WORDS = _Powers(_PRIME), _Powers(_STEP)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span [start, end)."""
+    """A 64-bit hash of each byte span [start, end); starts ascend.  Long data go in parts, which bounds the tables of powers."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > 2 * BLOCK_BYTES and len(starts) > 1:
+        cuts = np.unique(np.r_[0, np.searchsorted(starts, np.arange(BLOCK_BYTES, len(data), BLOCK_BYTES)), len(starts)])
+        parts = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            lo, hi = int(starts[a]), int(ends[a:b].max())
+            parts.append(_span_hashes(data[lo:hi], starts[a:b] - lo, ends[a:b] - lo))
+        return np.concatenate(parts)
+    return _span_hashes(data, starts, ends)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _BYTES.to(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=total[1:])

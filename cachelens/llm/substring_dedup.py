@@ -143,21 +143,22 @@ def row_key(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, spans): for each row with repeated windows, the word ranges [begin, end) they cover."""
     texts = row_key(docs.select("doc_id", "text").where("text is not null")).select("key", "text")
-    seeds = C.materialise(texts.mapInArrow(_block_rows(window), "key long, nth int, seed long, left int, right int, block long"), "seeds")
-    again = seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    seeds = C.materialise(C.small_batches(texts).mapInArrow(_block_rows(window), "key long, nth int, seed long, left int, right int, block long"), "seeds")
+    # counts are written before each join: its sides are then plain exchanges, which AQE splits where a key is hot
+    again = C.materialise(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "again1")
     level = C.materialise(seeds.join(again, "seed", "left_semi"), "level1")
     sides = level.select("key", "nth", "seed", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("twice")), F.struct(F.lit(1).alias("side"), F.col("right").alias("twice")))).alias("s")).select("key", "nth", "seed", "s.side", "s.twice").where("twice is not null")
-    again = sides.groupBy("seed", "side", "twice").agg(F.count("*").alias("n")).where("n > 1").select("seed", "side", "twice")
+    again = C.materialise(sides.groupBy("seed", "side", "twice").agg(F.count("*").alias("n")).where("n > 1").select("seed", "side", "twice"), "again2")
     alive = sides.join(again, ["seed", "side", "twice"], "left_semi").select("key", "nth").distinct()
     level = C.materialise(level.select("key", "nth", "block").join(alive, ["key", "nth"], "left_semi"), "level2")
-    again = level.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("key", "nth")).alias("copy")).where("n > 1").select("block", "copy")
+    again = C.materialise(level.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("key", "nth")).alias("copy")).where("n > 1").select("block", "copy"), "again3")
     state = F.when(F.col("copy").isNull(), 0).when((F.col("copy.key") == F.col("key")) & (F.col("copy.nth") == F.col("nth")), 2).otherwise(1)
     states = level.join(again, "block", "left").select("key", F.struct("nth", state.cast("int").alias("state")).alias("s"))
     states = C.materialise(states.groupBy("key").agg(F.collect_set("s").alias("states")), "states")
     some = C.id_filter(states.select(F.col("key").alias("id")))
     chosen = lambda: C.in_filter(texts, "key", some).join(states, "key")
     windows = C.materialise(chosen().select("key", "text", "states").mapInArrow(_window_rows(window), "hash long, check int, weight int, key long, at int"), "windows")
-    again = windows.groupBy("hash", "check").agg(F.sum("weight").alias("n")).where("n > 1").select("hash", "check")
+    again = C.materialise(windows.groupBy("hash", "check").agg(F.sum("weight").alias("n")).where("n > 1").select("hash", "check"), "again4")
     found = windows.where("weight = 1").join(again, ["hash", "check"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("at"))
     settled = states.where(F.exists("states", lambda s: s["state"] > 0)).select("key", "states")
     marks = C.materialise(settled.join(found, "key", "full_outer"), "marks")
@@ -198,9 +199,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = docs.schema.simpleString()[len("struct<") : -1] + ",n_words:bigint,n_removed:bigint,kept:string"
     some = C.id_filter(spans.select(F.col("key").alias("id")))
     rows = row_key(docs)
-    whole = C.in_filter(rows, "key", some, False).drop("key").withColumn("spans", F.lit(None).cast("array<struct<begin:int,end:int>>"))
+    bare = rows.withColumn("spans", F.lit(None).cast("array<struct<begin:int,end:int>>"))
+    keyed = rows.schema.simpleString()[len("struct<") : -1] + ",n_words:bigint,n_removed:bigint,kept:string"
+    whole = C.in_filter(bare, "key", some, False, _cut, keyed).drop("key")
     cut = C.in_filter(rows, "key", some).join(spans, "key", "left").drop("key")
-    return whole.mapInArrow(_cut, schema).unionAll(cut.mapInArrow(_cut, schema))
+    return whole.unionAll(cut.mapInArrow(_cut, schema))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
