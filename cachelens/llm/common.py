@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel block holds (a longer document is a block of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Rows up to which a side may be broadcast; `bounded_broadcast` counts before it hints.
 BROADCAST_ROWS = 200_000
 #: Rows of a batch that goes to a Python worker.
