@@ -33,6 +33,9 @@ POSITIONS = 128
 WHOLE_SET = 256
 #: Leaves up to this size are judged many to a batch.
 FEW = 8
+#: The pipeline's stage links texts from 0.8 on: 28 trees of depth 4 miss a pair at that limit with
+#: (1 - 0.8**4)**28 = 4e-7, and 0.11 is three standard deviations of its estimate.
+STAGE = {"percent": 80, "trees": 28, "depth": 4, "slack": 0.11}
 
 FEATURES = "doc_id long, n_shingles long, digest binary, signature binary, small binary"
 
@@ -301,12 +304,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the smallest doc_id of each near-duplicate group stays, in one row.
+    """Pipeline stage: the smallest doc_id of each near-duplicate group (at STAGE's limit) stays, in one row.
 
     Rows without a doc_id stay.  Only the ids that go are joined, so a bounded list of them
     needs no shuffle of the texts.
     """
-    judged = C.materialise(near_duplicates(docs).select("doc_id", "kept"), "judged")
+    judged = C.materialise(near_duplicates(docs, **STAGE).select("doc_id", "kept"), "judged")
     gone = judged.where("not kept").select("doc_id").distinct()
     out = docs.join(C.bounded_broadcast(gone), "doc_id", "left_anti").select(*C.DOCUMENT_COLUMNS)
     repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")

@@ -85,6 +85,24 @@ def test_near_duplicates_stage_and_nulls(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_stage_limit(spark):
+    """Copies between 0.80 and 0.85 go in the stage."""
+    rng = random.Random(11)
+    texts = {}
+    for family in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([40, 104, 300, 600]))]
+        texts[len(texts)] = " ".join(base)
+        for changed in (0.005, 0.015, 0.019, 0.021, 0.03):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), max(1, round(changed * len(base)))):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+    want = brute_components(texts, 80)
+    assert want != brute_components(texts, 85)
+    got = {r["doc_id"] for r in near_dedup.stage(spark, frame(spark, texts.values()), "").collect()}
+    assert got == {i for i, (_, first) in want.items() if i == first}
+
+
 def brute_cut(texts, window=35):
     seen = {}
     for t in texts.values():
