@@ -6,8 +6,9 @@ lower-cased (ASCII and Latin-1).  Windows of `window` tokens of the benchmark's
 those of the documents, so a question with other numbers, names or units still meets its original.
 
 Slots are then checked for consistency: within a window equal values must stay equal and different
-ones different, and over all windows of one item in one document each value of the item must turn
-into one value.  Windows that fail are dropped.
+ones different, and over the windows of one alignment (an item at one place of a document) each unit
+and name of the item must turn into one value; a number may stand for several quantities.  Windows
+that fail are dropped unless all their values are the item's own.
 
 Scale: benchmark windows set bits in a filter of fixed size, documents emit only windows that it
 lets through, and the join is broadcast only after a count of the benchmark's windows.
@@ -90,6 +91,7 @@ def _windows(sizes: list[int], literal: int, bits: np.ndarray | None):  # noqa:
             keys = batch.column(0).to_numpy()
             for lo, _, data, offsets in C.text_blocks(batch.column(1)):
                 code, value, slot, first = template(data, offsets)
+                marked = value & ~np.uint64(1) | (code == _TYPES[0]).astype(np.uint64)  # numbers are odd
                 n = np.diff(first)
                 count = np.r_[0, np.cumsum(slot)]
                 for size in sizes:
@@ -102,7 +104,7 @@ def _windows(sizes: list[int], literal: int, bits: np.ndarray | None):  # noqa:
                     if bits is not None:
                         keep &= C.hits(h, bits)
                     k = np.flatnonzero(keep)
-                    slots = [C.signed(value[a : a + size][slot[a : a + size]]) if count[a + size] > count[a] else h[:0] for a in at[k].tolist()]
+                    slots = [C.signed(marked[a : a + size][slot[a : a + size]]) if count[a + size] > count[a] else h[:0] for a in at[k].tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(keys[lo + doc[k]]), pa.array((at - first[doc])[k]), pa.array(n[doc[k]]), pa.array(np.full(len(k), size)), pa.array(slots, pa.list_(pa.int64()))], names=["hash", "key", "at", "tokens", "size", "slots"])
 
     return rows
@@ -125,10 +127,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     found = C.small_batches(texts).mapInArrow(_windows(sizes, literal, bits), _WINDOW_SCHEMA).select("hash", "key", "at", "slots")
     pattern = lambda c: F.transform(c, lambda v: F.array_position(c, v))
     same = found.join(C.bounded_broadcast(items), "hash").where(pattern(F.col("slots")) == pattern(F.col("item_slots")))
-    same = C.materialise(same.select("key", "item_id", "item_at", "item_tokens", "size", "slots", "item_slots"), "matches")
-    pairs = same.where(F.size("slots") > 0).select("key", "item_id", F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).select("key", "item_id", "s.slots", "s.item_slots").distinct()
-    mixed = pairs.groupBy("key", "item_id", "item_slots").count().where("count > 1").select("key", "item_id").distinct()
-    good = same.where(F.size("slots") == 0).unionAll(same.where(F.size("slots") > 0).join(mixed, ["key", "item_id"], "left_anti"))
+    same = C.materialise(same.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_tokens", "size", "slots", "item_slots"), "matches")
+    alignment = ["key", "item_id", "shift"]
+    pairs = same.where(F.size("slots") > 0).select(*alignment, F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).where("s.item_slots & 1 = 0").select(*alignment, "s.slots", "s.item_slots").distinct()
+    mixed = pairs.groupBy(*alignment, "item_slots").count().where("count > 1").select(*alignment).distinct()
+    equal = F.col("slots") == F.col("item_slots")
+    good = same.where(equal).unionAll(same.where(~equal).join(mixed, alignment, "left_anti"))
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)))))
     return good.groupBy("key", "item_id").agg((covered / F.max("item_tokens")).alias("coverage"), F.countDistinct("item_at").alias("n_windows"))
 

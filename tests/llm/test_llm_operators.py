@@ -204,6 +204,23 @@ def test_decontamination(spark):
     assert decontamination.with_verdicts(docs.limit(0), bench).count() == 0
 
 
+def found_items(spark, texts, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.with_verdicts(frame(spark, texts), bench).collect()}
+    return [got[i]["item_id"] for i in range(len(texts))]
+
+
+def test_decontamination_by_alignment(spark):
+    form = "the train leaves {} at {} and runs {} {} in {} hours so how fast does it go to {}".format
+    first, second, third = form("Boston", 9, 120, "miles", 3, "Boston"), form("Denver", 7, 350, "km", 5, "Denver"), form("Oslo", 4, 90, "feet", 2, "Oslo")
+    twice = "last year the shop sold 12 red hats and 5 caps and this year the shop sold 30 red hats and 9 caps"
+    number = "she pays 5 coins for the lamp and then waits for 5 days at home with others"
+    other = "she pays 8 coins for the lamp and then waits for 6 days at home with others"
+    half = form("Denver", 7, 350, "km", 5, "Oslo")
+    texts = [f"see {second} or {third} here", f"see {first} or {second} here", f"see {twice} here", f"see {other} here", f"see {half} here", f"see {half} or {second} here"]
+    assert found_items(spark, texts, [first, twice, number]) == [0, 0, 1, 2, None, 0]
+
+
 def test_language_identification(spark):
     rng = random.Random(2)
     make = {"aa": lambda: "".join(rng.choice(["ka", "lo", "mi"]) for _ in range(3)), "bb": lambda: "".join(rng.choice(["str", "eng", "ort"]) for _ in range(2)), "cc": lambda: "".join(rng.choice(["éu", "oi", "ça"]) for _ in range(3))}
