@@ -4,6 +4,10 @@ Texts become sequences of typed tokens: numbers (digits or number words), units
 names (capitalised words inside a sentence) turn into placeholders, other words are literal and
 lower-cased (ASCII and Latin-1).  Windows of `window` tokens of the benchmark's templates are hash-joined with
 those of the documents, so a question with other numbers, names or units still meets its original.
+Windows with few literal words, and items shorter than a window, are also hashed by their values, so
+that copies of dense and short items are found.  By template a window with few words counts only in a
+longer alignment: overlapping windows over two windows' length or the whole item, with enough words
+together and every value consistent, numbers too.  Windows without any word match by values only.
 
 Slots are then checked for consistency: within a window equal values must stay equal and different
 ones different, and over the windows of one alignment (an item at one place of a document) each unit
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachelens.llm import common as C
@@ -79,11 +83,13 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return code, value, number | unit | name, first
 
 
-def _windows(sizes: list[int], literal: int, bits: np.ndarray | None):  # noqa: ANN202
-    """mapInArrow over (key, text): windows (hash, key, at, tokens, size, slots).
+def _windows(kinds: list[tuple[int, bool]], window: int, literal: int, bits: np.ndarray | None):  # noqa: ANN202
+    """mapInArrow over (key, text): windows (hash, key, at, tokens, size, slots, exact, few, before, words).
 
-    With a filter: all windows of each of the sizes that it lets through.  Without one (items): the
-    windows of the largest size that the text has room for.
+    kinds: sizes, each by template or by values (exact).  With a filter: all windows that it lets
+    through.  Without one (items): the windows of the largest size that the text has room for, by
+    values those that the template alone does not settle.  few: fewer than `literal` words;
+    before, words: literal words before the window and in it.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,45 +100,63 @@ def _windows(sizes: list[int], literal: int, bits: np.ndarray | None):  # noqa:
                 marked = value & ~np.uint64(1) | (code == _TYPES[0]).astype(np.uint64)  # numbers are odd
                 n = np.diff(first)
                 count = np.r_[0, np.cumsum(slot)]
-                for size in sizes:
-                    own = n >= size if bits is not None or size == max(sizes) else n == size
+                for size, exact in kinds:
+                    own = n >= size if bits is not None or size == window else n == size
                     room = np.where(own, n - size + 1, 0)
                     doc = np.repeat(np.arange(len(n)), room)
                     at = np.arange(len(doc)) - np.repeat(np.cumsum(room) - room, room) + first[doc]
-                    h = C.signed(C.window_hashes(code, size)[at]) if len(at) else np.zeros(0, np.int64)
-                    keep = size - (count[at + size] - count[at]) >= min(literal, size)
+                    h = C.signed(C.window_hashes(value if exact else code, size, int(exact))[at]) if len(at) else np.zeros(0, np.int64)
+                    words = size - (count[at + size] - count[at])
+                    few = words < min(literal, size)
+                    if not exact:
+                        keep = ~few | ((size == window) & (words > 0))
+                    else:
+                        keep = np.full(len(at), True) if bits is not None else few | (size < window)
                     if bits is not None:
                         keep &= C.hits(h, bits)
                     k = np.flatnonzero(keep)
-                    slots = [C.signed(marked[a : a + size][slot[a : a + size]]) if count[a + size] > count[a] else h[:0] for a in at[k].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(keys[lo + doc[k]]), pa.array((at - first[doc])[k]), pa.array(n[doc[k]]), pa.array(np.full(len(k), size)), pa.array(slots, pa.list_(pa.int64()))], names=["hash", "key", "at", "tokens", "size", "slots"])
+                    before = at - first[doc] - (count[at] - count[first[doc]])
+                    slots = [C.signed(marked[a : a + size][slot[a : a + size]]) if not exact and count[a + size] > count[a] else h[:0] for a in at[k].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(keys[lo + doc[k]]), pa.array((at - first[doc])[k]), pa.array(n[doc[k]]), pa.array(np.full(len(k), size)), pa.array(slots, pa.list_(pa.int64())), pa.array(np.full(len(k), exact)), pa.array(few[k] & (not exact)), pa.array(before[k]), pa.array(words[k])], names=["hash", "key", "at", "tokens", "size", "slots", "exact", "few", "before", "words"])
 
     return rows
 
 
-_WINDOW_SCHEMA = "hash long, key long, at long, tokens long, size long, slots array<long>"
+_WINDOW_SCHEMA = "hash long, key long, at long, tokens long, size long, slots array<long>, exact boolean, few boolean, before long, words long"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL) -> DataFrame:
     """Rows (key, item_id, coverage, n_windows): benchmark items found in documents (key: of doc_id and text).
 
     coverage is the share of the item's tokens that lie in matched windows.  Items of fewer tokens
-    than `window` are one window as a whole; those of fewer than SHORTEST say too little and match nothing.
+    than `window` are one window as a whole, by values whatever their slots; those of fewer than SHORTEST
+    say too little and match nothing.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("key"), "text").mapInArrow(_windows(list(range(SHORTEST, window + 1)), literal, None), _WINDOW_SCHEMA)
-    items = C.materialise(items.select("hash", F.col("key").alias("item_id"), F.col("at").alias("item_at"), F.col("tokens").alias("item_tokens"), "size", F.col("slots").alias("item_slots")), "items")
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most window - SHORTEST + 1 numbers
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("key"), "text").mapInArrow(_windows([(n, e) for n in range(SHORTEST, window + 1) for e in (False, True)], window, literal, None), _WINDOW_SCHEMA)
+    items = C.materialise(items.select("hash", F.col("key").alias("item_id"), F.col("at").alias("item_at"), F.col("tokens").alias("item_tokens"), "size", F.col("slots").alias("item_slots"), "exact", "few", "before", "words"), "items")
+    kinds = [(r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect()]  # at most 2 * (window - SHORTEST + 1)
     bits = C.id_filter(items.select(F.col("hash").alias("id")), C.python_bit("id"))
     texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    found = C.small_batches(texts).mapInArrow(_windows(sizes, literal, bits), _WINDOW_SCHEMA).select("hash", "key", "at", "slots")
+    found = C.small_batches(texts).mapInArrow(_windows(kinds, window, literal, bits), _WINDOW_SCHEMA).select("hash", "key", "at", "slots")
     pattern = lambda c: F.transform(c, lambda v: F.array_position(c, v))
     same = found.join(C.bounded_broadcast(items), "hash").where(pattern(F.col("slots")) == pattern(F.col("item_slots")))
-    same = C.materialise(same.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_tokens", "size", "slots", "item_slots"), "matches")
+    same = C.materialise(same.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_tokens", "size", "slots", "item_slots", "few", "before", "words"), "matches")
     alignment = ["key", "item_id", "shift"]
-    pairs = same.where(F.size("slots") > 0).select(*alignment, F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).where("s.item_slots & 1 = 0").select(*alignment, "s.slots", "s.item_slots").distinct()
-    mixed = pairs.groupBy(*alignment, "item_slots").count().where("count > 1").select(*alignment).distinct()
+    pairs = same.where(F.size("slots") > 0).select(*alignment, F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).select(*alignment, "s.slots", "s.item_slots").distinct()
+    mixed = pairs.groupBy(*alignment, "item_slots").count().where("count > 1").groupBy(*alignment).agg(F.bool_or(F.col("item_slots").bitwiseAND(1) == 0).alias("words_mixed"))
     equal = F.col("slots") == F.col("item_slots")
-    good = same.where(equal).unionAll(same.where(~equal).join(mixed, alignment, "left_anti"))
+    judged = same.where(~equal).join(mixed, alignment, "left")
+    fit = judged.where(F.when(F.col("few"), F.col("words_mixed").isNull()).otherwise(~F.coalesce("words_mixed", F.lit(False)))).drop("words_mixed")
+    fit = same.where(equal).withColumn("few", F.lit(False)).unionAll(fit)
+    # runs of overlapping windows: what windows with few words need
+    in_order = Window.partitionBy(*alignment).orderBy("item_at", "few", "slots")
+    after_gap = F.coalesce(F.lag(F.col("item_at") + F.col("size")).over(in_order) < F.col("item_at"), F.lit(False))
+    runs = fit.withColumn("gap", after_gap.cast("int")).withColumn("run", F.sum("gap").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*alignment, "run")
+    length = F.max(F.col("item_at") + F.col("size")).over(run) - F.min("item_at").over(run)
+    known = F.max(F.col("before") + F.col("words")).over(run) - F.min("before").over(run)
+    long = (length >= F.least(F.lit(2 * window), F.col("item_tokens"))) & (known >= literal)
+    good = runs.withColumn("long", long).where(~F.col("few") | F.col("long"))
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)))))
     return good.groupBy("key", "item_id").agg((covered / F.max("item_tokens")).alias("coverage"), F.countDistinct("item_at").alias("n_windows"))
 

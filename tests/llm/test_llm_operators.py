@@ -221,6 +221,21 @@ def test_decontamination_by_alignment(spark):
     assert found_items(spark, texts, [first, twice, number]) == [0, 0, 1, 2, None, 0]
 
 
+def test_decontamination_of_dense_and_short_items(spark):
+    dense = "so Tom has 3 apples , 5 pears , 7 figs and 2 plums in 4 bags , Ann has 6 apples , 8 pears , 9 figs and 1 plum in 10 bags"
+    table = "12 7 45 88 3 19 204 5 61 33 90 14 27"
+    units = "mix 3 kg 5 kg 7 kg 9 kg with 2 liters 4 liters 6 liters 8 liters"
+    short, six, seven, eight = "What is 17 times 23", "Is 5 kg over 9 pounds", "At 9 Ann ran 5 miles", "is 5 plus 6 plus 7 or 8"
+    goods = "pack 3 kg salt 5 kg rice 7 kg corn 9 kg peas 2 kg figs 4 kg nuts 6 kg oats 8 kg"
+    items = [dense, table, units, short, six, seven, eight, goods]
+    copies = [f"see here: {t} and then more of the words" for t in items]
+    variant = "so Bob has 4 apples , 6 pears , 8 figs and 3 plums in 5 bags , Eve has 7 apples , 9 pears , 11 figs and 2 plum in 12 bags"
+    clean = ["it says 13 8 46 89 4 20 205 6 62 34 91 15 28 and ends", "what is 18 times 24 then", "mix 3 kg 5 kg 7 kg 9 kg", "Is 4 kg over 8 pounds", ""]
+    others = [variant, "pack 4 pounds salt 6 pounds rice 8 pounds corn 10 pounds peas 3 pounds figs 5 pounds nuts 7 pounds oats 9 pounds", "pack 4 kg salt 6 pounds rice 8 mg corn 10 kg peas 3 kg figs 5 kg nuts 7 kg oats 9 kg"]
+    got = found_items(spark, [*copies, *(f"see {t} here" for t in others), *clean], items)
+    assert got == [*range(8), 0, 7, None, *[None] * 5]
+
+
 def test_language_identification(spark):
     rng = random.Random(2)
     make = {"aa": lambda: "".join(rng.choice(["ka", "lo", "mi"]) for _ in range(3)), "bb": lambda: "".join(rng.choice(["str", "eng", "ort"]) for _ in range(2)), "cc": lambda: "".join(rng.choice(["éu", "oi", "ça"]) for _ in range(3))}
