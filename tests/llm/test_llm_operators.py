@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -274,6 +275,23 @@ def test_license_scan(spark):
     assert not any(got[i] for i in range(4, 74))
 
 
+@pytest.mark.parametrize("width", [40, 70, 80])
+def test_wrapped_licenses(spark, width):
+    texts, want = [], []
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            if len(notice) > 60:
+                for prefix in ("", "# "):
+                    lines = textwrap.wrap(f"Copyright 2020 some people. {notice}. See there.", width)
+                    texts.append("\n".join(["some prose", "", *(prefix + x for x in lines), "", "more"]))
+                    want.append(family)
+    plain = [f"plain words number {k} of the day" for k in range(60)]
+    got = {r["doc_id"]: r for r in licenses.with_license(frame(spark, [*texts, *plain])).collect()}
+    assert [got[i]["license"] for i in range(len(texts))] == want
+    assert all(got[i]["n_license_paragraphs"] == 1 for i in range(len(texts)))
+    assert not any(got[len(texts) + i]["license"] for i in range(60))
+
+
 def test_url_rules(spark):
     rows = [(1, None), (2, "no scheme"), (3, "HTTP://A.Example.NET/en/x?y#z"), (4, "http://x.org/fr/q"), (5, "http://x.org?fr"), (6, "ftp://badexample.net/EN/"), (7, "http://www.example.com/de/1"), (8, "http://example.com"), (3, "HTTP://A.Example.NET/en/x?y#z")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("verdict", C.F.lit("clash"))
