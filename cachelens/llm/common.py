@@ -7,9 +7,12 @@ document stays small and memory follows the block size, not the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ BLOCK_BYTES = 1 << 18
 BROADCAST_ROWS = 200_000
 #: Rows of a batch that goes to a Python worker.
 BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Columns of the documents table.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,22 +36,41 @@ _STEP = 0xD6E8FEB86659FD93
 
 # ------------------------------------------------------------------ scratch tables
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset and all run on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="cachelens-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and its size is known to the planner."""
+    """Write df to the shared folder and read it back: lineage is cut and its size is known to the planner.
+
+    While it is written, texts go to Python in batches of BATCH_ROWS rows, which bounds a worker's memory.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `materialise` wrote and that nothing reads any more."""
+    for table in tables:
+        spark, files = table.sparkSession, table.inputFiles()
+        if files:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows; else as it is (shuffle join, split by AQE)."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -62,6 +85,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def release_memory() -> None:
+    """Hand memory that numpy and Arrow no longer use back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call elsewhere
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ------------------------------------------------------------------ Arrow text blocks
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null has length 0."""
@@ -119,7 +150,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 # ------------------------------------------------------------------ hashing
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser."""
+    """A bijective 64-bit finaliser: the public-domain splitmix64."""
     x = x ^ (x >> _U(30))
     x = x * _U(0xBF58476D1CE4E5B9)
     x = x ^ (x >> _U(27))
@@ -181,9 +212,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-# ------------------------------------------------------------------ fixed-size id filters
+# ------------------------------------------------------------------ id filters of bounded size
 #: Bits of an id filter; its size does not depend on the data.
 FILTER_BITS = 1 << 25
+#: Ids up to which a filter keeps most other rows out; beyond them a semi-join takes its place.
+FILTER_IDS = FILTER_BITS // 4
 _BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
@@ -198,9 +231,13 @@ def hits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
 
-def id_filter(ids: DataFrame, bit: Column | None = None) -> np.ndarray:
+def _bit(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, bit: Column) -> np.ndarray:
     """A bitmap with the bit of each id: no id is missed, some others pass, its size is fixed."""
-    bit = (F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) if bit is None else bit) + 1  # Spark counts buckets and positions from 1
+    bit = bit + 1  # Spark counts buckets and positions from 1
     rows = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     out = np.zeros((FILTER_BITS // _BITMAP_BITS, _BITMAP_BITS // 8), np.uint8)
     for r in rows:
@@ -208,8 +245,8 @@ def id_filter(ids: DataFrame, bit: Column | None = None) -> np.ndarray:
     return out.ravel()
 
 
-def in_filter(df: DataFrame, key: str, bits: np.ndarray, inside: bool = True, then=None, schema: str | None = None) -> DataFrame:  # noqa: ANN001
-    """Rows of df whose key the filter lets through (or the other rows), handed to `then` in the same Python worker."""
+def _in_filter(df: DataFrame, keys: Sequence[str], bits: np.ndarray, inside: bool, then: Callable, schema: str) -> DataFrame:
+    """Rows of df whose keys the filter lets through (or the other rows), handed to `then` in the same Python worker."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
     columns = df.columns
 
@@ -219,11 +256,40 @@ def in_filter(df: DataFrame, key: str, bits: np.ndarray, inside: bool = True, th
             hit = (shared.value[bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
             yield batch.select(columns).filter(pa.array(hit == inside))
 
-    run = pick if then is None else lambda batches: then(pick(batches))
-    return small_batches(df).withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(run, schema or df.schema)
+    return df.withColumn("_bit", _bit(keys)).mapInArrow(lambda batches: then(pick(batches)), schema)
+
+
+def same_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return batches
+
+
+def only(df: DataFrame, keys: Sequence[str], ids: DataFrame, then: Callable = same_rows, schema: str | None = None) -> DataFrame:
+    """Rows of df whose keys may be in ids (no row that is in is missed), handed to the mapInArrow function `then`.
+
+    Up to FILTER_IDS ids a filter in the Python worker spares df a shuffle; beyond, it is a semi-join.
+    """
+    schema = schema or df.schema
+    if ids.count() <= FILTER_IDS:
+        return _in_filter(df, keys, id_filter(ids, _bit(keys)), True, then, schema)
+    return df.join(ids.select(*keys).distinct(), list(keys), "left_semi").select(*df.columns).mapInArrow(then, schema)
+
+
+def split(df: DataFrame, keys: Sequence[str], ids: DataFrame, then: Callable, schema: str) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of df that are surely not in ids, handed to `then`; the other rows); with many ids all are other rows."""
+    if ids.count() > FILTER_IDS:
+        return None, df
+    bits = id_filter(ids, _bit(keys))
+    return _in_filter(df, keys, bits, False, then, schema), _in_filter(df, keys, bits, True, same_rows, df.schema)
+
+
+def row_key(docs: DataFrame) -> DataFrame:
+    """docs with doc and twin: its doc_id (a hash of the text where there is none) and a second hash of the text.
+
+    Repeated rows share both, as they share their result; rows of one doc_id with different texts differ in twin.
+    """
+    text = F.coalesce("text", F.lit(""))
+    null = F.col("doc_id").isNull()
+    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))).withColumn("twin", F.when(null, -1).otherwise(1) * F.abs(F.hash(text, F.lit(7)).cast("long")))
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, after setting its session to hand texts to Python in batches of BATCH_ROWS rows, which bounds a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+KEY = ["doc", "twin"]

@@ -84,7 +84,7 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _windows(kinds: list[tuple[int, bool]], window: int, literal: int, bits: np.ndarray | None):  # noqa: ANN202
-    """mapInArrow over (key, text): windows (hash, key, at, tokens, size, slots, exact, few, before, words).
+    """mapInArrow over (doc, twin, text): windows (hash, doc, twin, at, tokens, size, slots, exact, few, before, words).
 
     kinds: sizes, each by template or by values (exact).  With a filter: all windows that it lets
     through.  Without one (items): the windows of the largest size that the text has room for, by
@@ -94,8 +94,8 @@ def _windows(kinds: list[tuple[int, bool]], window: int, literal: int, bits: np.
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for lo, _, data, offsets in C.text_blocks(batch.column(1)):
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            for lo, _, data, offsets in C.text_blocks(batch.column(2)):
                 code, value, slot, first = template(data, offsets)
                 marked = value & ~np.uint64(1) | (code == _TYPES[0]).astype(np.uint64)  # numbers are odd
                 n = np.diff(first)
@@ -117,31 +117,31 @@ def _windows(kinds: list[tuple[int, bool]], window: int, literal: int, bits: np.
                     k = np.flatnonzero(keep)
                     before = at - first[doc] - (count[at] - count[first[doc]])
                     slots = [C.signed(marked[a : a + size][slot[a : a + size]]) if not exact and count[a + size] > count[a] else h[:0] for a in at[k].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(keys[lo + doc[k]]), pa.array((at - first[doc])[k]), pa.array(n[doc[k]]), pa.array(np.full(len(k), size)), pa.array(slots, pa.list_(pa.int64())), pa.array(np.full(len(k), exact)), pa.array(few[k] & (not exact)), pa.array(before[k]), pa.array(words[k])], names=["hash", "key", "at", "tokens", "size", "slots", "exact", "few", "before", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[k]), *(pa.array(x[lo + doc[k]]) for x in keys), pa.array((at - first[doc])[k]), pa.array(n[doc[k]]), pa.array(np.full(len(k), size)), pa.array(slots, pa.list_(pa.int64())), pa.array(np.full(len(k), exact)), pa.array(few[k] & (not exact)), pa.array(before[k]), pa.array(words[k])], names=["hash", *C.KEY, "at", "tokens", "size", "slots", "exact", "few", "before", "words"])
 
     return rows
 
 
-_WINDOW_SCHEMA = "hash long, key long, at long, tokens long, size long, slots array<long>, exact boolean, few boolean, before long, words long"
+_WINDOW_SCHEMA = "hash long, doc long, twin long, at long, tokens long, size long, slots array<long>, exact boolean, few boolean, before long, words long"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """Rows (key, item_id, coverage, n_windows): benchmark items found in documents (key: of doc_id and text).
+    """Rows (doc, twin, item_id, coverage, n_windows): benchmark items found in documents (doc, twin: see row_key).
 
     coverage is the share of the item's tokens that lie in matched windows.  Items of fewer tokens
     than `window` are one window as a whole, by values whatever their slots; those of fewer than SHORTEST
     say too little and match nothing.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("key"), "text").mapInArrow(_windows([(n, e) for n in range(SHORTEST, window + 1) for e in (False, True)], window, literal, None), _WINDOW_SCHEMA)
-    items = C.materialise(items.select("hash", F.col("key").alias("item_id"), F.col("at").alias("item_at"), F.col("tokens").alias("item_tokens"), "size", F.col("slots").alias("item_slots"), "exact", "few", "before", "words"), "items")
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("doc"), F.lit(0).cast("long").alias("twin"), "text").mapInArrow(_windows([(n, e) for n in range(SHORTEST, window + 1) for e in (False, True)], window, literal, None), _WINDOW_SCHEMA)
+    items = C.materialise(items.select("hash", F.col("doc").alias("item_id"), F.col("at").alias("item_at"), F.col("tokens").alias("item_tokens"), "size", F.col("slots").alias("item_slots"), "exact", "few", "before", "words"), "items")
     kinds = [(r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect()]  # at most 2 * (window - SHORTEST + 1)
     bits = C.id_filter(items.select(F.col("hash").alias("id")), C.python_bit("id"))
-    texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    found = C.small_batches(texts).mapInArrow(_windows(kinds, window, literal, bits), _WINDOW_SCHEMA).select("hash", "key", "at", "slots")
+    texts = C.row_key(docs.where("text is not null")).select(*C.KEY, "text")
+    found = texts.mapInArrow(_windows(kinds, window, literal, bits), _WINDOW_SCHEMA).select("hash", *C.KEY, "at", "slots")
     pattern = lambda c: F.transform(c, lambda v: F.array_position(c, v))
     same = found.join(C.bounded_broadcast(items), "hash").where(pattern(F.col("slots")) == pattern(F.col("item_slots")))
-    same = C.materialise(same.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_tokens", "size", "slots", "item_slots", "few", "before", "words"), "matches")
-    alignment = ["key", "item_id", "shift"]
+    same = C.materialise(same.select(*C.KEY, "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_tokens", "size", "slots", "item_slots", "few", "before", "words"), "matches")
+    alignment = [*C.KEY, "item_id", "shift"]
     pairs = same.where(F.size("slots") > 0).select(*alignment, F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).select(*alignment, "s.slots", "s.item_slots").distinct()
     mixed = pairs.groupBy(*alignment, "item_slots").count().where("count > 1").groupBy(*alignment).agg(F.bool_or(F.col("item_slots").bitwiseAND(1) == 0).alias("words_mixed"))
     equal = F.col("slots") == F.col("item_slots")
@@ -158,14 +158,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     long = (length >= F.least(F.lit(2 * window), F.col("item_tokens"))) & (known >= literal)
     good = runs.withColumn("long", long).where(~F.col("few") | F.col("long"))
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)))))
-    return good.groupBy("key", "item_id").agg((covered / F.max("item_tokens")).alias("coverage"), F.countDistinct("item_at").alias("n_windows"))
+    return good.groupBy(*C.KEY, "item_id").agg((covered / F.max("item_tokens")).alias("coverage"), F.countDistinct("item_at").alias("n_windows"))
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(key, item_id, coverage, n_windows) of contaminated rows: their best covered item, the smallest id of equals."""
+    """(doc, twin, item_id, coverage, n_windows) of contaminated rows: their best covered item, the smallest id of equals."""
     found = contamination(docs, benchmark).where(F.col("coverage") >= coverage)
-    best = found.groupBy("key").agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("less"), "n_windows")).alias("b"))
-    return C.materialise(best.select("key", (-F.col("b.less")).alias("item_id"), F.col("b.coverage").alias("coverage"), F.col("b.n_windows").alias("n_windows")), "leaks")
+    best = found.groupBy(*C.KEY).agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("less"), "n_windows")).alias("b"))
+    return C.materialise(best.select(*C.KEY, (-F.col("b.less")).alias("item_id"), F.col("b.coverage").alias("coverage"), F.col("b.n_windows").alias("n_windows")), "leaks")
 
 
 def with_verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -174,9 +174,9 @@ def with_verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     Null texts and texts without a word are clean; repeated rows get the same verdict; items that
     are null or of fewer than SHORTEST tokens match nothing; empty tables give an empty result or clean documents.
     """
-    docs = docs.drop("contaminated", "item_id", "coverage", "n_windows", "key")
+    docs = docs.drop("contaminated", "item_id", "coverage", "n_windows", *C.KEY)
     found = verdicts(docs, benchmark, coverage)
-    out = docs.withColumn("key", F.xxhash64("doc_id", "text")).join(C.bounded_broadcast(found), "key", "left").drop("key")
+    out = C.row_key(docs).join(C.bounded_broadcast(found), C.KEY, "left").drop(*C.KEY)
     return out.withColumn("contaminated", F.col("coverage").isNotNull())
 
 
@@ -186,5 +186,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item, or a re-parameterised form of one, go."""
+    """Pipeline stage: documents that hold a benchmark item, or a re-parameterised form of one, go.
+
+    Null and empty texts stay; very long ones are searched whole; repeated rows share their verdict;
+    with an empty benchmark all documents stay, and an empty table stays empty.
+    """
     return with_verdicts(docs.select(*C.DOCUMENT_COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*C.DOCUMENT_COLUMNS)

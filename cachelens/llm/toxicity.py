@@ -58,7 +58,8 @@ class Lexicon:
     code: np.ndarray  # of each word of the block
 
 
-def lexicon(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, net: Network) -> Lexicon:
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, Lexicon]:
+    """(hashes of the distinct words, in order; their lexicon with row 0 for each word and a row for each four-gram)."""
     distinct, where, code = np.unique(C.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     a, size = starts[where], (ends - starts)[where]
     begin = np.cumsum(size) - size
@@ -71,7 +72,15 @@ def lexicon(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, net: Network
     end = tail | np.r_[tail[1:], True]
     beyond = np.where(end, 0, data[np.minimum(at + 2, len(data) - 1)]).astype(np.uint32)
     grams = ((before << 24 | own << 16 | after << 8 | beyond) * np.uint32(0x9E3779B1)) >> np.uint32(17)
-    return Lexicon(word_rows(distinct, net.vocabulary), net.grams[grams], begin, code)
+    return distinct, Lexicon(np.zeros(len(distinct), np.int64), grams, begin, code.astype(np.int32))
+
+
+def lexicon(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, net: Network) -> Lexicon:
+    return known_rows(*distinct_words(data, starts, ends), net)
+
+
+def known_rows(distinct: np.ndarray, lex: Lexicon, net: Network) -> Lexicon:
+    return Lexicon(word_rows(distinct, net.vocabulary), net.grams[lex.grams], lex.begin, lex.code)
 
 
 def word_rows(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -192,52 +201,26 @@ def _logits(net: Network, lex: Lexicon, x: np.ndarray, start: np.ndarray, size:
     return out
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, passes: int = 2, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network:
+def train(texts: list[str] | pa.Array, toxic: np.ndarray, rounds: int = 4, passes: int = 2, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network:
     """A network fitted to document labels; without both labels it scores every text alike."""
     rng = np.random.default_rng(seed)
     net = Network.new(rng)
     toxic = np.asarray(toxic, np.int64)
-    data, offsets = C.utf8_view(pa.array(texts, pa.string()))
+    n_texts, (data, offsets) = len(texts), C.utf8_view(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
     data, starts, ends, first = letter_words(data, offsets)
     base = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 1 - 1e-3))
     if not len(starts) or len(np.unique(toxic)) < 2:
         net.scale, net.shift = 0.0, float(np.log(base / (1 - base)))
         return net
-    lex = lexicon(data, starts, ends, net)
-    distinct = np.unique(C.span_hashes(data, starts, ends))
+    distinct, lex = distinct_words(data, starts, ends)
+    lone = _lone(distinct[lex.code], first)
+    del data, starts, ends
+    C.release_memory()
     doc, start, size = windows_of(first)
+    has, net.vocabulary, net.grams = _telling_features(lex, distinct, first, lone, toxic)
+    C.release_memory()
+    lex = known_rows(distinct, lex, net)
     # first round: windows by the log-odds of their words
-    word_doc = np.searchsorted(first, np.arange(len(starts)), side="right") - 1
-    # copies are no evidence of their own: of texts that begin alike, one counts
-    openings: dict[tuple, int] = {}
-    for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        openings.setdefault(tuple(lex.code[a : min(b, a + 8)].tolist()), d)
-    lone = np.zeros(len(texts), bool)
-    lone[list(openings.values())] = True
-    pairs = np.unique((lex.code * (len(texts) + 1) + word_doc)[lone[word_doc]])
-    has = [np.bincount(pairs // (len(texts) + 1), toxic[pairs % (len(texts) + 1)] == k, len(lex.bucket)) for k in (0, 1)]
-    # vectors of their own only for words and four-grams that tell the labels apart by more than chance:
-    # the others share one, so that a small sample can't be learned by heart
-    telling = np.flatnonzero(_telling(*has, toxic[lone]))
-    net.vocabulary = np.sort(distinct[telling[np.argsort(-has[1][telling], kind="stable")[: BUCKETS - 1]]])
-    gram_word = np.repeat(np.arange(len(lex.begin)), np.diff(np.r_[lex.begin, len(lex.grams)]))
-    of_word = np.unique(lex.grams * np.int64(len(lex.begin)) + gram_word)
-    gram, word_of = of_word // len(lex.begin), of_word % len(lex.begin)
-    order = np.argsort(word_of, kind="stable")
-    gram, word_of = gram[order], word_of[order]
-    counts = [np.zeros(GRAMS), np.zeros(GRAMS)]
-    wide = len(texts) + 1
-    pairs = pairs[np.argsort(pairs % wide, kind="stable")]
-    edges = np.searchsorted(pairs % wide, np.arange(0, len(texts) + 200, 200))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # 200 documents at a time, to bound memory
-        pair_word, pair_doc = pairs[a:b] // wide, pairs[a:b] % wide
-        lo, hi = np.searchsorted(word_of, pair_word), np.searchsorted(word_of, pair_word, side="right")
-        grams = gram[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())]
-        seen = np.unique(grams * wide + np.repeat(pair_doc, hi - lo))
-        for k in (0, 1):
-            counts[k] += np.bincount(seen // wide, toxic[seen % wide] == k, GRAMS)
-    net.grams = np.where(_telling(*counts, toxic[lone]), np.arange(GRAMS), 0)
-    lex = lexicon(data, starts, ends, net)
     odds = np.log((has[1] + 0.1) / (toxic.sum() + 0.2)) - np.log((has[0] + 0.1) / ((1 - toxic).sum() + 0.2))
     run = np.r_[0, np.cumsum(np.maximum(odds, 0)[lex.code] ** 2)]
     score = run[start + size] - run[start]
@@ -270,12 +253,54 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, passes: int = 2,
                     s += 0.001 * (v * v - s)
                     net.p[k] -= (rate * m / (1 - 0.9**step) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(F32)
         score = _logits(net, lex, net.inputs(lex), start, size)
-    worst = np.full(len(texts), net.p["bias"][0], np.float64)
+    worst = np.full(n_texts, net.p["bias"][0], np.float64)
     np.maximum.at(worst, doc, score)
     net.scale, net.shift = _platt(worst, toxic)
     return net
 
 
+def _lone(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """True for texts that count as evidence: of texts that share their least five-word window (near copies
+    mostly do) or, where they are shorter, all their words, the first."""
+    seen, out = set(), np.zeros(len(first) - 1, bool)
+    for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        least = C.window_hashes(word[a:b], min(5, b - a)).min() if b > a else 0
+        out[d] = least not in seen
+        seen.add(least)
+    return out
+
+
+def _telling_features(lex: Lexicon, distinct: np.ndarray, first: np.ndarray, lone: np.ndarray, toxic: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(texts of each label with each distinct word, vocabulary, row of each four-gram).
+
+    Vectors of their own only for words and four-grams that tell the labels apart by more than
+    chance: the others share one, so that a small sample can't be learned by heart.
+    """
+    wide = len(lone) + 1
+    word_doc = np.repeat(np.arange(len(lone)), np.diff(first))
+    pairs = np.unique((lex.code * np.int64(wide) + word_doc)[lone[word_doc]])
+    del word_doc
+    has = [np.bincount(pairs // wide, toxic[pairs % wide] == k, len(lex.bucket)) for k in (0, 1)]
+    telling = np.flatnonzero(_telling(*has, toxic[lone]))
+    vocabulary = np.sort(distinct[telling[np.argsort(-has[1][telling], kind="stable")[: BUCKETS - 1]]])
+    gram_word = np.repeat(np.arange(len(lex.begin)), np.diff(np.r_[lex.begin, len(lex.grams)]))
+    of_word = np.unique(lex.grams * np.int64(len(lex.begin)) + gram_word)
+    gram, word_of = of_word // len(lex.begin), of_word % len(lex.begin)
+    order = np.argsort(word_of, kind="stable")
+    gram, word_of = gram[order], word_of[order]
+    counts = [np.zeros(GRAMS), np.zeros(GRAMS)]
+    pairs = pairs[np.argsort(pairs % wide, kind="stable")]
+    edges = np.searchsorted(pairs % wide, np.arange(0, len(lone) + 200, 200))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # 200 documents at a time, to bound memory
+        pair_word, pair_doc = pairs[a:b] // wide, pairs[a:b] % wide
+        lo, hi = np.searchsorted(word_of, pair_word), np.searchsorted(word_of, pair_word, side="right")
+        grams = gram[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())]
+        seen = np.unique(grams * wide + np.repeat(pair_doc, hi - lo))
+        for k in (0, 1):
+            counts[k] += np.bincount(seen // wide, toxic[seen % wide] == k, GRAMS)
+    return has, vocabulary, np.where(_telling(*counts, toxic[lone]), np.arange(GRAMS), 0)
+
+
 def _telling(clean: np.ndarray, toxic: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """True for features whose share of toxic documents is beyond chance among so many features.
 
@@ -314,8 +339,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
-    rows = labelled_sample(docs, labels, "toxic", sample, chars).select("text", "label").limit(2 * sample).collect()
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
+    """A network fitted to at most 2 * `sample` rows (a doc_id may come with several texts)."""
+    rows = labelled_sample(docs, labels, "toxic", sample, chars).select("text", F.col("label").cast("long").alias("label")).limit(2 * sample).toArrow()
+    net = train(rows["text"].combine_chunks(), rows["label"].to_numpy())
+    del rows
+    C.release_memory()  # the driver goes on
+    return net
 
 
 def score_texts(net: Network, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -353,7 +382,7 @@ def with_toxicity(docs: DataFrame, net: Network) -> DataFrame:
             made = score_texts(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], names=[*batch.schema.names, "toxicity", "toxicity_windows", "toxicity_worst"])
 
-    return C.small_batches(docs).mapInArrow(score, docs.schema.simpleString()[len("struct<") : -1] + ",toxicity:double,toxicity_windows:bigint,toxicity_worst:bigint")
+    return docs.mapInArrow(score, docs.schema.simpleString()[len("struct<") : -1] + ",toxicity:double,toxicity_windows:bigint,toxicity_worst:bigint")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,6 +393,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored at the threshold or above go."""
+    """Pipeline stage: documents scored at the threshold or above go.
+
+    Null and empty texts have the score of the network's bias, as texts without a letter have; very
+    long ones are scored whole; repeated rows are judged alike; without labels of both kinds every
+    text has the same score, the share of toxic ones; an empty table stays empty.
+    """
     net = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return with_toxicity(docs.select(*C.DOCUMENT_COLUMNS), net).where(F.col("toxicity") < THRESHOLD).select(*C.DOCUMENT_COLUMNS)

@@ -38,7 +38,7 @@ def test_toxicity(spark, sf_dir, stages):
 
 def test_near_duplicates(stages):
     before, after = map(texts, stages["near_dedup"])
-    assert after == {i: before[i] for i, (_, first) in brute_components(before).items() if i == first}
+    assert after == {i: before[i] for i, (_, first) in brute_components(before, 80).items() if i == first}
 
 
 def test_substrings(stages):
