@@ -62,6 +62,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """For a pipeline's session: texts go to Python in batches of BATCH_ROWS rows in whatever it runs, unless it set its own size."""
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that `materialise` wrote and that nothing reads any more."""
     for table in tables:
@@ -88,8 +94,12 @@ def held_out(doc_id: Column) -> Column:
 def release_memory() -> None:
     """Hand memory that numpy and Arrow no longer use back to the system."""
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call elsewhere
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
@@ -117,7 +127,14 @@ def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
     del data, offsets, column
-    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
+    _trim()  # workers live on from stage to stage
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of large batches in batches of at most `rows` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -191,4 +191,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay; very long ones are searched whole; repeated rows share their verdict;
     with an empty benchmark all documents stay, and an empty table stays empty.
     """
+    C.bounded_batches(spark)
     return with_verdicts(docs.select(*C.DOCUMENT_COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*C.DOCUMENT_COLUMNS)

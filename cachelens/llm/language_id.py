@@ -235,7 +235,7 @@ def with_language(docs: DataFrame, chain: Chain) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.pieces(batches):
             made = label_texts(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made[0], pa.string()), *map(pa.array, made[1:])], names=[*batch.schema.names, "lang_pred", "lang_score", "n_letter_words", "n_switches"])
 

@@ -346,6 +346,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of one doc_id with several texts one stays where any of them is kept; an empty table stays
     empty.  Only the ids that go are joined, so a bounded list of them needs no shuffle of the texts.
     """
+    C.bounded_batches(spark)
     judged = C.materialise(near_duplicates(docs, **STAGE).select("doc_id", "kept"), "judged")
     by = C.materialise(judged.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "by")
     C.discard(judged)

@@ -280,5 +280,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the packed pieces of the documents that are left."""
+    """Last pipeline stage: the packed pieces of the documents that are left.
+
+    Null and empty texts are one id each; very long ones are cut; repeated rows are packed each; an
+    empty table gives no pieces.
+    """
+    C.bounded_batches(spark)
     return pack(docs, default_tokenizer())

@@ -180,7 +180,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Appends n_words, n_removed and kept (the words that stay, joined by one space)."""
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts, spans = batch.column("text"), batch.column("spans")
         n_words, n_removed, kept = [], [], []
         for text, span in zip(texts, spans, strict=True):
@@ -226,6 +226,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays (one whose words all go with an empty text); repeated rows are copies of each
     other; very long texts are cut like others; an empty table stays empty.
     """
+    C.bounded_batches(spark)
     out = remove_repeats(docs.select(*C.DOCUMENT_COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))

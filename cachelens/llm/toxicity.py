@@ -378,7 +378,7 @@ def with_toxicity(docs: DataFrame, net: Network) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.pieces(batches):
             made = score_texts(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], names=[*batch.schema.names, "toxicity", "toxicity_windows", "toxicity_worst"])
 
@@ -399,5 +399,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     long ones are scored whole; repeated rows are judged alike; without labels of both kinds every
     text has the same score, the share of toxic ones; an empty table stays empty.
     """
+    C.bounded_batches(spark)
     net = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return with_toxicity(docs.select(*C.DOCUMENT_COLUMNS), net).where(F.col("toxicity") < THRESHOLD).select(*C.DOCUMENT_COLUMNS)
