@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,16 +52,46 @@ def increase(df: DataFrame, keys: list[str], order: list[str], value: str, rule:
     return F.when(before.isNull(), 0).when(now < before, now).otherwise(now - before)
 
 
-def percentile_floor(values: Column, q: float) -> Column:
+def exact_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys and, for each name, the value at that 0-based rank (a function of the group's row count).
+
+    Groups of any size: values are counted in cells of 1/64 of a power of two, running sums over a
+    group's few cells find the cell of each rank, and only that cell's distinct values are counted one
+    by one.  Nulls don't count.
+    """
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull()).select(*keys, x.alias("x"))
+    rows = rows.withColumn("cell", F.when(F.col("x") > 0, F.floor(F.log2("x") * 64)).otherwise(F.lit(-(1 << 20)) - F.floor(F.log2(F.greatest(-F.col("x"), F.lit(1e-300))) * 64)).cast("long"))
+    counts = rows.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    cells = counts.withColumn("below", F.sum("n").over(w.orderBy("cell")) - F.col("n")).withColumn("total", F.sum("n").over(w))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("total")).cast("long").alias("rank")) for name, rank in ranks.items())))
+    asked = cells.withColumn("a", asked).where((F.col("a.rank") >= F.col("below")) & (F.col("a.rank") < F.col("below") + F.col("n")))
+    asked = asked.select(*keys, "cell", F.col("a.name").alias("name"), (F.col("a.rank") - F.col("below")).alias("rank"))
+    values = rows.join(asked, [*keys, "cell"]).groupBy(*keys, "name", "rank", "x").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "name", "rank").orderBy("x"))
+    hit = values.withColumn("upto", upto).where(F.col("upto") > F.col("rank"))
+    return hit.groupBy(*keys).agg(*(F.min(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in ranks))
+
+
+def floor_rank(q: float) -> Callable[[Column], Column]:
     """Element floor(q * (n - 1)) of the sorted values."""
-    s = F.sort_array(F.collect_list(values))
-    return F.get(s, F.floor(F.lit(q) * (F.size(s) - 1)).cast("int"))
+    return lambda n: F.floor(F.lit(q) * (n - 1))
+
+
+def nearest_rank(q: float) -> Callable[[Column], Column]:
+    """Nearest-rank percentile: element ceil(q * n) of the sorted values, counted from 1."""
+    return lambda n: F.greatest(F.ceil(F.lit(q) * n) - 1, F.lit(0))
 
 
-def percentile_nearest(values: Column, q: float) -> Column:
-    """Nearest-rank percentile: element ceil(q * n) of the sorted values."""
-    s = F.sort_array(F.collect_list(values))
-    return F.get(s, (F.ceil(F.lit(q) * F.size(s)) - 1).cast("int"))
+def percentiles_linear(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """keys and, for each name, the percentile interpolated between the two values around rank q * (n - 1)."""
+    ranks = {}
+    for name, q in quantiles.items():
+        ranks |= {f"_lo_{name}": floor_rank(q), f"_hi_{name}": (lambda q: lambda n: F.ceil(F.lit(q) * (n - 1)))(q)}
+    found = exact_ranks(df, keys, value, ranks).join(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    part = lambda q: F.lit(q) * (F.col("_n") - 1) - F.floor(F.lit(q) * (F.col("_n") - 1))
+    return found.select(*keys, *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part(q)).alias(n) for n, q in quantiles.items()))
 
 
 def ratio(a: Column, b: Column) -> Column:

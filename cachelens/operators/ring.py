@@ -28,8 +28,12 @@ def ring_points(nodes: DataFrame) -> DataFrame:
 
 def ring_intervals(points: DataFrame) -> DataFrame:
     """(node, lo, hi): the hashes lo < h <= hi that each point owns; the first point also owns the rest of the space."""
-    w = Window.orderBy("point")  # over ring points only, whose number follows the fleet, not the data
-    rows = points.select("node", F.col("point").alias("hi"), F.lag("point", 1, -1).over(w).alias("lo"))
+    points = points.withColumn("cell", F.shiftright("point", BUCKET_BITS)).persist()
+    # the point before: inside a cell of the hash space by a window, at a cell's start the last one of the cell before
+    cells = points.groupBy("cell").agg(F.max("point").alias("end"))
+    before = cells.select("cell", F.lag("end", 1, -1).over(Window.orderBy("cell")).alias("start"))  # at most 2**(32 - BUCKET_BITS) rows
+    lo = F.lag("point").over(Window.partitionBy("cell").orderBy("point"))
+    rows = points.withColumn("lo", lo).join(F.broadcast(before), "cell").select("node", F.col("point").alias("hi"), F.coalesce("lo", "start").alias("lo"))
     last = points.agg(F.max("point").alias("lo"), F.min_by("node", "point").alias("node")).where("lo is not null")
     return rows.unionByName(last.select("node", F.lit(SPACE - 1).cast("long").alias("hi"), "lo")).where("lo < hi")
 

@@ -60,10 +60,10 @@ def sorted_members(spark: SparkSession, d: str) -> DataFrame:
     return V.members(spark, d).groupBy("grp").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
 
 
-@Q.add("g3_victims", "SELECT grp, arg_min(id, (used_bytes, hits_total, -objects, num)) AS coldest, arg_min(id, (hits_total, -num)) AS youngest FROM members GROUP BY grp", "members")
+@Q.add("g3_victims", "SELECT grp, arg_min(id, (used_bytes, hits_total, -objects, num)) AS coldest, arg_min(id, (hits_total, -num)) AS youngest, arg_min(id, (hits_total, -num, used_bytes)) AS young_first, arg_min(id, (hits_total, used_bytes, -num)) AS useful_first FROM members GROUP BY grp", "members")
 def victims(spark: SparkSession, d: str) -> DataFrame:
-    """Least by tuple, with two tie orders."""
-    return V.members(spark, d).groupBy("grp").agg(F.min_by("id", F.struct("used_bytes", "hits_total", -F.col("objects"), "num")).alias("coldest"), F.min_by("id", F.struct("hits_total", -F.col("num"))).alias("youngest"))
+    """Least by tuple, with the three tie orders: used first and full last, youngest before used, used before youngest."""
+    return V.members(spark, d).groupBy("grp").agg(F.min_by("id", F.struct("used_bytes", "hits_total", -F.col("objects"), "num")).alias("coldest"), F.min_by("id", F.struct("hits_total", -F.col("num"))).alias("youngest"), F.min_by("id", F.struct("hits_total", -F.col("num"), "used_bytes")).alias("young_first"), F.min_by("id", F.struct("hits_total", "used_bytes", -F.col("num"))).alias("useful_first"))
 
 
 _TWO = "(SELECT grp, id, ver FROM members WHERE num % 5 <> 0) a FULL JOIN (SELECT grp, id, CASE WHEN num % 9 = 0 THEN 'v9' ELSE ver END AS ver FROM members WHERE num % 7 <> 0) b ON a.grp = b.grp AND a.id = b.id"
@@ -111,8 +111,9 @@ def required_forbidden(spark: SparkSession, d: str) -> DataFrame:
     return g.select("grp", (F.size(F.array_except(F.array(F.lit("v1"), F.lit("v2")), "vers")) == 0).alias("has_required"), (~F.arrays_overlap("vers", F.array(F.lit("v3")))).alias("no_forbidden"))
 
 
-@Q.add("d13_client_continuity", "SELECT DISTINCT connector FROM ops WHERE ts < TIMESTAMP '2024-01-08' AND connector NOT IN (SELECT connector FROM ops WHERE ts >= TIMESTAMP '2024-01-29 12:00:00' AND op = 'put' AND status = 'ok')", "ops")
+@Q.add("d13_client_continuity", "SELECT DISTINCT peer, object_key FROM ops WHERE ts < TIMESTAMP '2024-01-08' AND (peer, object_key) NOT IN (SELECT (peer, object_key) FROM ops WHERE ts >= TIMESTAMP '2024-01-22' AND status = 'ok')", "ops")
 def client_continuity(spark: SparkSession, d: str) -> DataFrame:
+    """Clients (an object's user on a peer) of the first week that had no success in the last days."""
     o = V.ops(spark, d)
-    late = o.where("ts >= timestamp '2024-01-29 12:00:00' and op = 'put' and status = 'ok'").select("connector")
-    return o.where("ts < timestamp '2024-01-08'").select("connector").distinct().join(late, "connector", "left_anti")
+    late = o.where("ts >= timestamp '2024-01-22' and status = 'ok'").select("peer", "object_key")
+    return o.where("ts < timestamp '2024-01-08'").select("peer", "object_key").distinct().join(late, ["peer", "object_key"], "left_anti")

@@ -38,9 +38,11 @@ def block_key(spark: SparkSession, d: str) -> DataFrame:
     return V.objects(spark, d).select("doc_id", F.substring(g, 1, 16).alias("digest_hi"), F.substring(g, 17, 16).alias("digest_lo"))
 
 
-@Q.add("b13_block_path", f"SELECT doc_id, 'blocks/' || substr(b, 1, 2) || '/' || substr(b, 1, 4) || '/' || b AS path, true AS valid FROM (SELECT doc_id, {TENANT} || {DIGEST} AS b FROM objects)", "objects")
+@Q.add("b13_block_path", f"SELECT doc_id, 'blocks/' || substr(b, 1, 2) || '/' || substr(b, 1, 4) || '/' || b AS path, doc_id % 5 <> 4 AS valid FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'X' || substr({TENANT} || {DIGEST}, 2) ELSE {TENANT} || {DIGEST} END AS b FROM objects)", "objects")
 def block_path(spark: SparkSession, d: str) -> DataFrame:
-    b = V.objects(spark, d).select("doc_id", I.block_id(F.col("ns"), F.col("object_key")).alias("b"))
+    """Paths of block files; every fifth name has a digit that is none."""
+    b = I.block_id(F.col("ns"), F.col("object_key"))
+    b = V.objects(spark, d).select("doc_id", F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit("X"), F.substring(b, 2, 47))).otherwise(b).alias("b"))
     return b.select("doc_id", I.block_path(F.col("b")).alias("path"), I.valid_block_id(F.col("b")).alias("valid"))
 
 

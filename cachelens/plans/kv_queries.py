@@ -11,16 +11,16 @@ from cachelens.plans.book import Book
 
 Q = Book()
 
-# Probes: each event asks for a document; some ask beyond the stored ones.
-V.SQL["probes"] = "SELECT event_id AS pos, (event_id * 7 % 2000)::VARCHAR AS key, 500 + event_id % 3000 AS cap, event_id % 700 AS off, event_id % 90 AS len FROM events"
+# Probes: each event asks for a document; half the ids asked for are beyond the stored ones.
+V.SQL["probes"] = "SELECT event_id AS pos, (event_id * 7 % (SELECT 2 * count(*) FROM documents))::VARCHAR AS key, 500 + event_id % 3000 AS cap, event_id % 700 AS off, event_id % 90 AS len FROM events"
 V.SQL["store"] = "SELECT object_key AS key, value, value_len FROM objects"
 # Puts: line items write blocks; sequence numbers order them.
 V.SQL["puts"] = "SELECT hash AS key, size + 4096 * pos AS len, req * 100 + pos AS seq, tenant FROM chunks"
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    return V.table(spark, d, "events").select(e.alias("pos"), (e * 7 % 2000).cast("string").alias("key"), (500 + e % 3000).alias("cap"), (e % 700).alias("off"), (e % 90).alias("len"))
+    e, wide = F.col("event_id"), 2 * V.table(spark, d, "documents").agg(F.count("*").alias("n")).scalar()
+    return V.table(spark, d, "events").select(e.alias("pos"), (e * 7 % wide).cast("string").alias("key"), (500 + e % 3000).alias("cap"), (e % 700).alias("off"), (e % 90).alias("len"))
 
 
 def store(spark: SparkSession, d: str) -> DataFrame:
@@ -39,9 +39,11 @@ def put_write_once(spark: SparkSession, d: str) -> DataFrame:
     return kv.put(held, p).select("key", "len", "seq")
 
 
-@Q.add("i4_get_exact", "SELECT pos, key, coalesce(value_len = cap, false) AS hit FROM probes LEFT JOIN store USING (key)", "objects", "probes", "store")
+@Q.add("i4_get_exact", "SELECT pos, key, coalesce(value_len = CASE WHEN pos % 3 = 0 THEN value_len ELSE cap END, false) AS hit FROM probes LEFT JOIN store USING (key)", "objects", "probes", "store")
 def get_exact(spark: SparkSession, d: str) -> DataFrame:
-    return kv.lookup(probes(spark, d), store(spark, d)).select("pos", "key", kv.hit_exact(F.col("cap")).alias("hit"))
+    """Every third probe asks with the length that is stored, the others with a length of their own."""
+    asked = F.when(F.col("pos") % 3 == 0, F.col("value_len")).otherwise(F.col("cap"))
+    return kv.lookup(probes(spark, d), store(spark, d)).select("pos", "key", kv.hit_exact(asked).alias("hit"))
 
 
 @Q.add("i5_get_auto", "SELECT pos, key, coalesce(value_len <= cap, false) AS hit, CASE WHEN value_len <= cap THEN value_len END AS got FROM probes LEFT JOIN store USING (key)", "objects", "probes", "store")
@@ -74,9 +76,9 @@ def exist(spark: SparkSession, d: str) -> DataFrame:
     return kv.lookup(probes(spark, d), store(spark, d)).select("pos", "key", F.col("value_len").isNotNull().alias("present"))
 
 
-@Q.add("i11_remove", "SELECT key, value_len FROM store WHERE key NOT IN (SELECT key FROM probes WHERE pos % 3 = 0)", "objects", "probes", "store")
+@Q.add("i11_remove", "SELECT key, value_len FROM store WHERE key NOT IN (SELECT key FROM probes WHERE pos % 29 = 0)", "objects", "probes", "store")
 def remove(spark: SparkSession, d: str) -> DataFrame:
-    return kv.remove(store(spark, d).select("key", "value_len"), probes(spark, d).where("pos % 3 = 0"))
+    return kv.remove(store(spark, d).select("key", "value_len"), probes(spark, d).where("pos % 29 = 0"))
 
 
 @Q.add("i11_remove_status", "SELECT key, count(*) AS asked, CASE WHEN key IN (SELECT key FROM store) THEN 'ok' ELSE 'not_found' END AS status FROM probes GROUP BY key", "objects", "probes", "store")
@@ -85,12 +87,12 @@ def remove_status(spark: SparkSession, d: str) -> DataFrame:
     return kv.lookup(asked, store(spark, d)).select("key", "asked", F.when(F.col("value_len").isNotNull(), "ok").otherwise("not_found").alias("status"))
 
 
-@Q.add("d3_backup_gate", "SELECT key, max(key IN (SELECT key FROM puts WHERE tenant = 1)) AS already, count(*) AS n FROM puts WHERE tenant <> 1 GROUP BY key", "chunks", "puts")
+@Q.add("d3_backup_gate", "SELECT part, key IN (SELECT hash FROM chunks WHERE req % 3 = 0) AS already, n FROM (SELECT hash AS key, hash AS part, count(*) AS n FROM chunks WHERE req % 3 <> 0 GROUP BY hash)", "chunks")
 def backup_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Which keys of a backup are already there (they count as stored) and which are to be written."""
-    p = puts(spark, d)
-    held = p.where("tenant = 1").select("key").distinct().withColumn("already", F.lit(True))
-    return p.where("tenant <> 1").groupBy("key").agg(F.count("*").alias("n")).join(held, "key", "left").select("key", F.coalesce("already", F.lit(False)).alias("already"), "n")
+    """Which keys of a backup (two requests in three) are already there (they count as stored) and which are to be written."""
+    c = V.chunks(spark, d)
+    held = c.where("req % 3 = 0").select("hash").distinct().withColumn("already", F.lit(True))
+    return c.where("req % 3 <> 0").groupBy("hash").agg(F.count("*").alias("n")).join(held, "hash", "left").select(F.col("hash").alias("part"), F.coalesce("already", F.lit(False)).alias("already"), "n")
 
 
 @Q.add("d5_two_tier", "SELECT tier, count(*) AS n, sum(len)::BIGINT AS bytes FROM (SELECT p.key, p.len, CASE WHEN p.key IN (SELECT key FROM puts WHERE tenant = 2) THEN 'ram' WHEN p.key IN (SELECT key FROM puts WHERE tenant = 3) THEN 'disk' ELSE 'miss' END AS tier FROM puts p) GROUP BY tier", "chunks", "puts")

@@ -17,6 +17,8 @@ V.SQL["counters"] = """SELECT connector, op, event_id, ts, total - CASE WHEN (su
     coalesce(sum(keys) FILTER (ts < TIMESTAMP '2024-01-15') OVER (PARTITION BY connector, op), 0) AS base FROM ops)"""
 _BOUNDS = ", ".join(f"{b!r}::DOUBLE" for b in M.NODE_BOUNDS)
 V.SQL["hist"] = f"SELECT o.op, o.connector, b.le, count_if(greatest(o.seconds, 0) <= b.le) AS cum FROM ops o, (SELECT unnest([{_BOUNDS}, 'inf'::DOUBLE]) AS le) b GROUP BY o.op, o.connector, b.le"
+_WIDE = ", ".join(f"{b!r}::DOUBLE" for b in M.CONNECTOR_BOUNDS)
+V.SQL["wide"] = f"SELECT o.op, o.connector, b.le, count_if(greatest(o.seconds * 2, 0) <= b.le) AS cum FROM ops o, (SELECT unnest([{_WIDE}, 'inf'::DOUBLE]) AS le) b GROUP BY o.op, o.connector, b.le"
 KEYS = ["connector", "op"]
 
 
@@ -32,6 +34,16 @@ def hist(spark: SparkSession, d: str) -> DataFrame:
     return M.cumulative_histogram(V.ops(spark, d), ["op", "connector"], "seconds", M.NODE_BOUNDS)
 
 
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    both = V.ops(spark, d).withColumn("seconds", F.col("seconds") * 2)
+    return M.cumulative_histogram(both, ["op", "connector"], "seconds", M.CONNECTOR_BOUNDS)
+
+
+@Q.add("e8_connector_histogram", "SELECT op, connector, round(least(le, 1e9), 6) AS le, cum FROM wide", "ops", "wide")
+def connector_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return wide(spark, d).select("op", "connector", F.round(F.least("le", F.lit(1e9)), 6).alias("le"), "cum")
+
+
 @Q.add("e6_op_counters", "SELECT op, count(*) AS requests, sum(keys)::BIGINT AS keys, sum(hits)::BIGINT AS hits, sum(bytes)::BIGINT AS bytes, round(max(seconds), 6) AS slowest FROM ops GROUP BY op", "ops")
 def op_counters(spark: SparkSession, d: str) -> DataFrame:
     return V.ops(spark, d).groupBy("op").agg(F.count("*").alias("requests"), F.sum("keys").alias("keys"), F.sum("hits").alias("hits"), F.sum("bytes").alias("bytes"), F.round(F.max("seconds"), 6).alias("slowest"))
@@ -45,35 +57,40 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 @Q.add("e9_op_summary", "SELECT connector, count(*) AS n, round(avg(seconds) * 1000, 3) AS avg_ms, round(list_sort(list(seconds))[ceil(0.9 * count(*))::INT], 6) AS p90, sum(keys)::BIGINT AS keys, count_if(status = 'error') AS errors FROM ops GROUP BY connector", "ops")
 def op_summary(spark: SparkSession, d: str) -> DataFrame:
     """Average, nearest-rank 90th percentile and errors of each connector."""
-    return V.ops(spark, d).groupBy("connector").agg(F.count("*").alias("n"), F.round(F.avg("seconds") * 1000, 3).alias("avg_ms"), F.round(M.percentile_nearest(F.col("seconds"), 0.9), 6).alias("p90"), F.sum("keys").alias("keys"), F.count_if(F.col("status") == "error").alias("errors"))
+    o = V.ops(spark, d)
+    sums = o.groupBy("connector").agg(F.count("*").alias("n"), F.round(F.avg("seconds") * 1000, 3).alias("avg_ms"), F.sum("keys").alias("keys"), F.count_if(F.col("status") == "error").alias("errors"))
+    p90 = M.exact_ranks(o, ["connector"], "seconds", {"p90": M.nearest_rank(0.9)})
+    return sums.join(p90, "connector").select("connector", "n", "avg_ms", F.round("p90", 6).alias("p90"), "keys", "errors")
 
 
-@Q.add("e11_percentile_linear", "SELECT op, round(quantile_cont(seconds, 0.5), 6) AS p50, round(quantile_cont(seconds, 0.95), 6) AS p95 FROM ops GROUP BY op", "ops")
+@Q.add("e11_percentile_linear", "SELECT op, round(quantile_cont(seconds, 0.5), 8) AS p50, round(quantile_cont(seconds, 0.95), 8) AS p95 FROM ops GROUP BY op", "ops")
 def percentile_linear(spark: SparkSession, d: str) -> DataFrame:
-    return V.ops(spark, d).groupBy("op").agg(*(F.round(F.percentile("seconds", q), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95))))
+    p = M.percentiles_linear(V.ops(spark, d), ["op"], "seconds", {"p50": 0.5, "p95": 0.95})
+    return p.select("op", F.round("p50", 8).alias("p50"), F.round("p95", 8).alias("p95"))
 
 
 @Q.add("e12_percentile_floor", "SELECT op, round(list_sort(list(seconds))[floor(0.5 * (count(*) - 1))::INT + 1], 6) AS p50, round(list_sort(list(seconds))[floor(0.99 * (count(*) - 1))::INT + 1], 6) AS p99 FROM ops GROUP BY op", "ops")
 def percentile_floor(spark: SparkSession, d: str) -> DataFrame:
-    return V.ops(spark, d).groupBy("op").agg(F.round(M.percentile_floor(F.col("seconds"), 0.5), 6).alias("p50"), F.round(M.percentile_floor(F.col("seconds"), 0.99), 6).alias("p99"))
+    p = M.exact_ranks(V.ops(spark, d), ["op"], "seconds", {"p50": M.floor_rank(0.5), "p99": M.floor_rank(0.99)})
+    return p.select("op", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 
 _QUANTILE = """WITH_ SELECT op, arg_min(v, le) AS quantile FROM (SELECT op, le, cum, CASE WHEN le = 'inf'::DOUBLE THEN {inf} WHEN cum > below THEN lo + (le - lo) * (total * {q} - below) / (cum - below) ELSE le END AS v, total FROM (
   SELECT op, le, cum, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(cum) OVER w, 0) AS below, max(cum) OVER (PARTITION BY op) AS total FROM (SELECT op, le, sum(cum)::BIGINT AS cum FROM hist GROUP BY op, le) WINDOW w AS (PARTITION BY op ORDER BY le))) WHERE cum >= total * {q} AND total > 0 GROUP BY op"""
 
 
-@Q.add("e13_histogram_quantile", "SELECT op, round(quantile, 6) AS p10 FROM (" + _QUANTILE.replace("WITH_ ", "").format(inf="NULL", q="0.1") + ")", "ops", "hist")
+@Q.add("e13_histogram_quantile", "SELECT op, round(quantile, 8) AS p10 FROM (" + _QUANTILE.replace("WITH_ ", "").format(inf="NULL", q="0.1") + ")", "ops", "hist")
 def histogram_quantile(spark: SparkSession, d: str) -> DataFrame:
     """The gate's rule: nothing is told of the infinite bucket."""
     h = hist(spark, d).groupBy("op", "le").agg(F.sum("cum").alias("cum"))
-    return M.histogram_quantile(h, ["op"], 0.1).select("op", F.round("quantile", 6).alias("p10"))
+    return M.histogram_quantile(h, ["op"], 0.1).select("op", F.round("quantile", 8).alias("p10"))
 
 
-@Q.add("m_latency_p99", "SELECT op, round(quantile, 6) AS p99 FROM (" + _QUANTILE.replace("WITH_ ", "").format(inf="lo", q="0.99") + ")", "ops", "hist")
+@Q.add("m_latency_p99", "SELECT op, round(quantile, 8) AS p99 FROM (" + _QUANTILE.replace("WITH_ ", "").format(inf="lo", q="0.99").replace("FROM hist", "FROM wide") + ")", "ops", "wide")
 def latency_p99(spark: SparkSession, d: str) -> DataFrame:
-    """The dashboards' rule: the infinite bucket gives the highest finite bound."""
-    h = hist(spark, d).groupBy("op", "le").agg(F.sum("cum").alias("cum"))
-    return M.histogram_quantile(h, ["op"], 0.99, "top").select("op", F.round("quantile", 6).alias("p99"))
+    """The dashboards' rule: the infinite bucket gives the highest finite bound; from the connectors' buckets (both ways of a call)."""
+    h = wide(spark, d).groupBy("op", "le").agg(F.sum("cum").alias("cum"))
+    return M.histogram_quantile(h, ["op"], 0.99, "top").select("op", F.round("quantile", 8).alias("p99"))
 
 
 @Q.add("e14_per_bucket", "SELECT op, connector, round(least(le, 1e9), 6) AS le, cum - coalesce(lag(cum) OVER (PARTITION BY op, connector ORDER BY le), 0) AS n FROM hist", "ops", "hist")
@@ -180,13 +197,13 @@ def inventory(spark: SparkSession, d: str) -> DataFrame:
     return V.members(spark, d).join(V.ops(spark, d).groupBy(F.col("peer").alias("id")).agg(F.count("*").alias("n")), "id").select("id", "ver", "n")
 
 
-@Q.add("d9_regression_gate", "SELECT op, round(b, 6) AS before, round(a, 6) AS after, a > b * 1.02 AS slower FROM (SELECT op, quantile_cont(seconds, 0.95) FILTER (ts < TIMESTAMP '2024-01-15') AS b, quantile_cont(seconds, 0.95) FILTER (ts >= TIMESTAMP '2024-01-15') AS a FROM ops GROUP BY op)", "ops")
+@Q.add("d9_regression_gate", "SELECT op, round(b, 8) AS before, round(a, 8) AS after, a > b * 1.02 AS slower FROM (SELECT op, quantile_cont(seconds, 0.95) FILTER (ts < TIMESTAMP '2024-01-15') AS b, quantile_cont(seconds, 0.95) FILTER (ts >= TIMESTAMP '2024-01-15') AS a FROM ops GROUP BY op)", "ops")
 def regression_gate(spark: SparkSession, d: str) -> DataFrame:
     """Baseline and candidate by op: has the 95th percentile grown by more than 2 %?"""
-    p95 = lambda df, n: df.groupBy("op").agg(F.percentile("seconds", 0.95).alias(n))
+    p95 = lambda df, n: M.percentiles_linear(df, ["op"], "seconds", {n: 0.95})
     o = V.ops(spark, d)
     j = p95(o.where("ts < timestamp '2024-01-15'"), "b").join(p95(o.where("ts >= timestamp '2024-01-15'"), "a"), "op", "full_outer")
-    return j.select("op", F.round("b", 6).alias("before"), F.round("a", 6).alias("after"), (F.col("a") > F.col("b") * 1.02).alias("slower"))
+    return j.select("op", F.round("b", 8).alias("before"), F.round("a", 8).alias("after"), (F.col("a") > F.col("b") * 1.02).alias("slower"))
 
 
 @Q.add("e22_error_rate", "SELECT connector, CASE WHEN count(*) = 0 THEN 1.0 ELSE round(count_if(status = 'error') / count(*), 6) END AS error_rate FROM ops GROUP BY connector", "ops")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cachelens.functions import identity as I
 from cachelens.functions.epoch import view_epochs
-from cachelens.operators import prefix as P
 from cachelens.plans import views as V
 from cachelens.plans.book import Book
 from cachelens.plans.identity_queries import _framed
@@ -48,12 +47,23 @@ def suspicious(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("was", was).where("was is not null").withColumn("suspicious", (F.col("size") * 100 < F.col("was") * 50) | (F.col("size") * 100 > F.col("was") * 150))
 
 
-@Q.add("f4_group_fixpoint", """SELECT req, coalesce(max(pos + 1) FILTER (full_ok = 1 AND tail_ok = 1), 0) AS hit FROM (SELECT req, pos, min(present::INT) OVER (PARTITION BY req ORDER BY pos) AS full_ok,
-  min((tenant <> 3)::INT) OVER (PARTITION BY req ORDER BY pos ROWS 2 PRECEDING) AS tail_ok FROM chunks) GROUP BY req""", "chunks")
+@Q.add("f4_group_fixpoint", """SELECT req, coalesce(max(2 * (b + 1)) FILTER (ok AND 2 * (b + 1) <= prefix), 0) AS hit FROM (
+  SELECT req, b, prefix, min(good::INT) OVER (PARTITION BY req ORDER BY b ROWS 1 PRECEDING) = 1 AS ok FROM (
+    SELECT c.req, c.pos // 2 AS b, count(*) = 2 AND bool_and(c.tenant <> 3) AS good, any_value(p.prefix) AS prefix FROM chunks c JOIN (SELECT req, coalesce(min(pos) FILTER (NOT present), count(*)) AS prefix FROM chunks GROUP BY req) p ON c.req = p.req GROUP BY c.req, c.pos // 2)) GROUP BY req""", "chunks")
 def group_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    """Hit length on which a full-attention group (prefix) and a sliding-window group (last three chunks) agree."""
-    c = V.chunks(spark, d).withColumn("kv", F.col("present")).withColumn("window", F.col("tenant") != 3)
-    return P.trailing_prefix(c, ["req"], 3, anchor="kv", other="window")
+    """Hit length in chunks on which two attention groups agree.
+
+    The full-attention group (blocks of one chunk) hits a prefix.  The sliding-window group has
+    blocks of two chunks and needs the last two blocks before the end; lengths are aligned to the
+    larger block.  With a full-attention group first, one pass over the other group converges.
+    """
+    c = V.chunks(spark, d)
+    prefix = c.groupBy("req").agg(F.coalesce(F.min(F.when(~F.col("present"), F.col("pos"))), F.count("*")).alias("prefix"))
+    blocks = c.groupBy("req", F.floor(F.col("pos") / 2).alias("b")).agg(((F.count("*") == 2) & F.bool_and(F.col("tenant") != 3)).alias("good"))
+    ok = F.bool_and("good").over(Window.partitionBy("req").orderBy("b").rowsBetween(-1, 0))
+    end = 2 * (F.col("b") + 1)
+    j = blocks.withColumn("ok", ok).join(prefix, "req")
+    return j.groupBy("req").agg(F.coalesce(F.max(F.when(F.col("ok") & (end <= F.col("prefix")), end)), F.lit(0)).alias("hit"))
 
 
 @Q.add("g5_least_loaded", "SELECT peer, arg_min(connector, (n, s, connector)) AS pick FROM (SELECT peer, connector, count(*) AS n, sum((seconds * 100000)::BIGINT) AS s FROM ops GROUP BY peer, connector) GROUP BY peer", "ops")
@@ -98,9 +108,9 @@ def label_values(spark: SparkSession, d: str) -> DataFrame:
     return V.ops(spark, d).select(F.col("connector").alias("value")).distinct()
 
 
-@Q.add("e16_quota_metrics", "SELECT q.tenant, q.quota, coalesce(u.bytes, 0) AS used FROM (SELECT unnest([0, 1, 9]) AS tenant, unnest([1000000, 5000000, 7]) AS quota) q LEFT JOIN (SELECT tenant, sum(size)::BIGINT AS bytes FROM chunks WHERE present GROUP BY tenant) u ON u.tenant = q.tenant", "chunks")
+@Q.add("e16_quota_metrics", "SELECT q.tenant, q.quota, coalesce(u.bytes, 0) AS used, coalesce(u.rejections, 0) AS rejections FROM (SELECT unnest([0, 1, 9]) AS tenant, unnest([1000000, 5000000, 7]) AS quota) q LEFT JOIN (SELECT tenant, (sum(size) FILTER (present))::BIGINT AS bytes, count_if(NOT present) AS rejections FROM chunks GROUP BY tenant) u ON u.tenant = q.tenant", "chunks")
 def quota_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Configured tenants only, with what they use."""
+    """Configured tenants only, with what they use and how many of their puts were turned away (the chunks that are not there)."""
     limits = spark.createDataFrame([(0, 1000000), (1, 5000000), (9, 7)], "tenant int, quota int")
-    used = V.chunks(spark, d).where("present").groupBy(F.col("tenant").cast("int").alias("tenant")).agg(F.sum("size").alias("used"))
-    return limits.join(used, "tenant", "left").select("tenant", "quota", F.coalesce("used", F.lit(0)).alias("used"))
+    used = V.chunks(spark, d).groupBy(F.col("tenant").cast("int").alias("tenant")).agg(F.sum(F.when(F.col("present"), F.col("size"))).alias("used"), F.count_if(~F.col("present")).alias("rejections"))
+    return limits.join(used, "tenant", "left").select("tenant", "quota", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("rejections", F.lit(0)).alias("rejections"))

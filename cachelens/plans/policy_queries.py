@@ -1,23 +1,21 @@
-"""Sequential policies over heartbeats, puts and operations, in batch and as streams."""
+"""Leases, runs, recurrence, sessions and rates over heartbeats and operations, in batch and as streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cachelens.operators import policy as P
 from cachelens.plans import views as V
 from cachelens.plans.book import Book
-from cachelens.plans.kv_queries import puts
 from cachelens.streaming import windows as S
 
 Q = Book()
 
-V.SQL["polls"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT node) AS size, min(node) % 4 AS grp FROM beats GROUP BY 1"
+V.SQL["polls"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT node) AS size, min(node) % 4 AS grp, bool_or(node = 1) AS has_required, bool_or(node = 19) AS has_forbidden FROM beats GROUP BY 1"
 
 
 def polls(spark: SparkSession, d: str) -> DataFrame:
-    b = V.beats(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("node").alias("size"), (F.min("node") % 4).alias("grp"))
+    b = V.beats(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("node").alias("size"), (F.min("node") % 4).alias("grp"), F.bool_or(F.col("node") == 1).alias("has_required"), F.bool_or(F.col("node") == 19).alias("has_forbidden"))
     return b
 
 
@@ -30,44 +28,12 @@ def leases(spark: SparkSession, d: str) -> DataFrame:
     return live.where(F.col("last_beat") > now - F.expr("interval 3 days"))
 
 
-@Q.add("j3_view_guard")
-def view_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Daily view sizes of each group: which of them are adopted?"""
-    return P.replay(polls(spark, d), ["grp"], ["day"], P.ViewGuard, ["size"], "admit", "boolean")
-
-
 @Q.add("j4_epoch_changes", "SELECT day, size FROM (SELECT day, size, lag(size) OVER (PARTITION BY grp ORDER BY day) AS was FROM polls) WHERE was IS NULL OR was <> size", "beats", "polls")
 def epoch_changes(spark: SparkSession, d: str) -> DataFrame:
     was = F.lag("size").over(Window.partitionBy("grp").orderBy("day"))
     return polls(spark, d).withColumn("was", was).where("was is null or was <> size").select("day", "size")
 
 
-@Q.add("j6_breaker")
-def breaker(spark: SparkSession, d: str) -> DataFrame:
-    return P.replay(breaker_events(V.ops(spark, d)), ["peer"], ["t_ms", "seq"], P.Breaker, ["t_ms", "kind"], "cooldown_ms", "long")
-
-
-def breaker_events(ops: DataFrame) -> DataFrame:
-    kind = F.when(F.col("status") == "error", "bad").when(F.col("op") == "remove", "probe").when(F.col("op") == "put", "good").otherwise("ask")
-    return ops.select("peer", F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), kind.alias("kind"), F.col("event_id").alias("seq"))
-
-
-@Q.add("j6_breaker_stream")
-def breaker_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same over a stream of the events."""
-    raw = S.file_stream(spark, f"{d}/events.parquet")
-    kind = F.when(F.col("event_type") == "error", "bad").when(F.col("event_type") == "signup", "probe").when(F.col("event_type") == "purchase", "good").otherwise("ask")
-    events = raw.select(F.concat(F.lit("n"), F.col("user_id") % 10).alias("peer"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), kind.alias("kind"), F.col("event_id").alias("seq"))
-    return S.drain(S.breakers(events))
-
-
-@Q.add("j9_quota_admission")
-def quota_admission(spark: SparkSession, d: str) -> DataFrame:
-    """Puts of each tenant and day-sized slice in caller order against a limit; later small ones still fit."""
-    p = puts(spark, d).withColumn("slice", F.floor(F.col("seq") / 200000))
-    return P.replay(p, ["tenant", "slice"], ["seq"], lambda: P.QuotaGate(3_000_000), ["key", "len"], "status", "string")
-
-
 @Q.add("j12_recurrence", """SELECT event_id, n % 2 = 0 AS recurrent FROM (SELECT event_id, row_number() OVER (PARTITION BY object_key, run ORDER BY ts, event_id) AS n FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY object_key ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY object_key ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM ops WHERE op = 'get')))""", "ops")
 def recurrence(spark: SparkSession, d: str) -> DataFrame:
@@ -79,11 +45,11 @@ def recurrence(spark: SparkSession, d: str) -> DataFrame:
     return runs.withColumn("n", n).select("event_id", (F.col("n") % 2 == 0).alias("recurrent"))
 
 
-@Q.add("j16_stable_runs", "SELECT grp, day FROM (SELECT grp, day, size, lag(size) OVER w AS a, lag(size, 2) OVER w AS b FROM polls WINDOW w AS (PARTITION BY grp ORDER BY day)) WHERE size = a AND size = b", "beats", "polls")
+@Q.add("j16_stable_runs", "SELECT grp, day FROM (SELECT grp, day, size, has_required, has_forbidden, lag(size) OVER w AS a, lag(size, 2) OVER w AS b FROM polls WINDOW w AS (PARTITION BY grp ORDER BY day)) WHERE size = a AND size = b AND has_required AND NOT has_forbidden", "beats", "polls")
 def stable_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Polls that see a size for the third time in a row or more."""
+    """Polls that see a size for the third time in a row or more, with the required node and without the forbidden one."""
     w = Window.partitionBy("grp").orderBy("day")
-    return polls(spark, d).withColumn("a", F.lag("size").over(w)).withColumn("b", F.lag("size", 2).over(w)).where("size = a and size = b").select("grp", "day")
+    return polls(spark, d).withColumn("a", F.lag("size").over(w)).withColumn("b", F.lag("size", 2).over(w)).where("size = a and size = b and has_required and not has_forbidden").select("grp", "day")
 
 
 @Q.add("f13_ewma", "SELECT peer, list_reduce(list((seconds * 1000000)::BIGINT ORDER BY ts, event_id), lambda a, x: (7 * a + x) // 8) AS ewma FROM ops GROUP BY peer", "ops")
@@ -94,25 +60,6 @@ def ewma(spark: SparkSession, d: str) -> DataFrame:
     return V.ops(spark, d).groupBy("peer").agg(xs.alias("xs")).select("peer", F.when(F.size("xs") > 1, folded).otherwise(F.col("xs")[0]).alias("ewma"))
 
 
-@Q.add("k1_clock_eviction")
-def clock(spark: SparkSession, d: str) -> DataFrame:
-    """CLOCK replay of puts, a shard for each tenant and request range."""
-    p = puts(spark, d).where("len > 0").withColumn("shard", F.col("seq") % 16)
-    return P.replay(p, ["tenant", "shard"], ["seq"], lambda: P.Clock(4_000_000), ["key", "len"], "victims", "long")
-
-
-@Q.add("k11_lru_presence")
-def lru(spark: SparkSession, d: str) -> DataFrame:
-    o = V.ops(spark, d).where("op in ('get', 'exist', 'put')").select("connector", "ts", "event_id", "object_key")
-    return P.replay(o, ["connector"], ["ts", "event_id"], lambda: P.Lru(40), ["object_key"], "hit", "boolean")
-
-
-@Q.add("b20_heat_decay")
-def heat(spark: SparkSession, d: str) -> DataFrame:
-    o = V.ops(spark, d).where("op = 'get'").select("object_key", "event_id")
-    return P.replay(o, ["object_key"], ["event_id"], P.Heat, ["event_id"], "heat", "long")
-
-
 @Q.add("s_windowed_rates", "SELECT date_trunc('day', ts) AS start, op, count(*) AS requests, sum(keys)::BIGINT AS keys, sum(hits)::BIGINT AS hits FROM ops WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ops) GROUP BY 1, 2", "ops")
 def windowed_rates(spark: SparkSession, d: str) -> DataFrame:
     """Daily rates as a stream emits them: windows that the watermark has closed."""
@@ -138,36 +85,6 @@ def inflight(spark: SparkSession, d: str) -> DataFrame:
     return V.ops(spark, d).where("op = 'put'").select("event_id", F.count("*").over(w).alias("inflight"))
 
 
-def _timed(ops: DataFrame) -> DataFrame:
-    return ops.withColumn("t", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("took", F.round(F.col("seconds") * 50_000_000).cast("long"))
-
-
-@Q.add("j11_read_coalescing")
-def coalescing(spark: SparkSession, d: str) -> DataFrame:
-    """Reads of one object that overlap share one flight (reads take 50,000 times longer here)."""
-    o = _timed(V.ops(spark, d).where("op = 'get'")).select("object_key", "event_id", "t", "took")
-    return P.replay(o, ["object_key"], ["t", "event_id"], P.Coalescer, ["t", "took"], "role", "string")
-
-
-@Q.add("j13_rendezvous")
-def rendezvous(spark: SparkSession, d: str) -> DataFrame:
-    o = _timed(V.ops(spark, d).where("op = 'get'")).select("object_key", "event_id", "t", "took")
-    return P.replay(o, ["object_key"], ["t", "event_id"], lambda: P.Rendezvous(ttl=86_400_000), ["t", "took"], "answer", "string")
-
-
-@Q.add("j8_rail_admission")
-def rail(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("status") == "error", "local_error").when(F.col("op") == "put", "ok").when(F.col("op") == "remove", "endpoint_error").otherwise("ask")
-    o = _timed(V.ops(spark, d)).select("peer", "event_id", "t", kind.alias("kind"))
-    return P.replay(o, ["peer"], ["t", "event_id"], lambda: P.Rail(errors=2, quarantine=3_600_000), ["t", "kind"], "state", "string")
-
-
-@Q.add("j5_log_throttle")
-def throttle(spark: SparkSession, d: str) -> DataFrame:
-    o = _timed(V.ops(spark, d)).select("peer", "event_id", "t", (F.col("status") == "error").alias("failed"))
-    return P.replay(o, ["peer"], ["t", "event_id"], lambda: P.Throttle(86_400_000), ["t", "failed"], "speaks", "boolean")
-
-
 @Q.add("j14_heartbeat_health", """SELECT event_id, count_if(status = 'error') OVER (PARTITION BY peer, run ORDER BY ts, event_id) AS failures, last_good FROM (SELECT *, count_if(status <> 'error') OVER (PARTITION BY peer ORDER BY ts, event_id) AS run,
   max(event_id) FILTER (status <> 'error') OVER (PARTITION BY peer ORDER BY ts, event_id) AS last_good FROM ops)""", "ops")
 def heartbeat_health(spark: SparkSession, d: str) -> DataFrame:

@@ -79,10 +79,20 @@ def all_parts(spark: SparkSession, d: str) -> DataFrame:
     return V.chunks(spark, d).groupBy("req", F.floor(F.col("pos") / 2).alias("page")).agg(F.bool_and("present").alias("ok"))
 
 
-@Q.add("d10_all_ranks", "SELECT hash, count(DISTINCT tenant) AS groups, count(DISTINCT tenant) = 1 AS whole FROM chunks WHERE present GROUP BY hash", "chunks")
+@Q.add("d10_all_ranks", "SELECT page, count(DISTINCT (rank, part)) AS held, count(DISTINCT (rank, part)) = (SELECT count(DISTINCT (tenant, pos % 2)) FROM chunks) AS whole FROM (SELECT req % 1500 AS page, tenant AS rank, pos % 2 AS part FROM chunks WHERE present) GROUP BY page", "chunks")
 def all_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """Relational division: hashes that every expected group holds."""
-    return V.chunks(spark, d).where("present").groupBy("hash").agg(F.countDistinct("tenant").alias("groups")).withColumn("whole", F.col("groups") == 1)
+    """Relational division: pages of which every rank holds every scatter part."""
+    c = V.chunks(spark, d).select((F.col("req") % 1500).alias("page"), F.col("tenant").alias("rank"), (F.col("pos") % 2).alias("part"), "present")
+    expected = c.agg(F.countDistinct("rank", "part").alias("n")).scalar()
+    return c.where("present").groupBy("page").agg(F.countDistinct("rank", "part").alias("held")).withColumn("whole", F.col("held") == expected)
+
+
+@Q.add("d11_all_groups", "SELECT page, bool_or(tenant = 0) AND bool_or(tenant = 1) AND bool_or(tenant = 2) AS hit FROM (SELECT req % 3000 AS page, tenant FROM chunks WHERE present) GROUP BY page", "chunks")
+def all_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A page is a hit only if every group of the layer specification (groups 0, 1 and 2) holds it."""
+    spec = F.array(*(F.lit(g).cast("long") for g in (0, 1, 2)))
+    held = V.chunks(spark, d).where("present").groupBy((F.col("req") % 3000).alias("page")).agg(F.collect_set("tenant").alias("groups"))
+    return held.select("page", (F.size(F.array_except(spec, "groups")) == 0).alias("hit"))
 
 
 @Q.add("i16_save_plan", "SELECT req, count(*) AS chunks, sum(size)::BIGINT AS bytes FROM (SELECT req, pos, size, row_number() OVER (PARTITION BY req ORDER BY pos) - 1 AS i FROM chunks WHERE pos % 4 <> 3) WHERE i % 2 = 0 AND (req, pos) NOT IN (SELECT (req, pos) FROM chunks WHERE present) GROUP BY req", "chunks")

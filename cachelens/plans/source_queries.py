@@ -36,9 +36,14 @@ def render(spark: SparkSession, d: str) -> DataFrame:
     return exposition(spark, d)
 
 
-@Q.add("a18_quota_file", "SELECT tenant_hash, limit_bytes, false AS bad FROM (SELECT substr(md5(tenant), 1, 16) AS tenant_hash, (sum(value_len) * 2)::DECIMAL(20, 0) AS limit_bytes FROM objects GROUP BY tenant)", "objects")
+@Q.add("a18_quota_file", """SELECT CASE WHEN i % 3 <> 2 THEN h END AS tenant_hash, min(CASE WHEN i % 3 <> 2 THEN n END) AS limit_bytes, count(*) AS n, count(*) > 1 OR i % 3 = 2 AS bad FROM (
+  SELECT substr(md5(tenant), 1, 16) AS h, (sum(value_len) * 2)::DECIMAL(20, 0) AS n, CASE WHEN tenant LIKE '%1' THEN 2 ELSE 0 END AS i FROM objects GROUP BY tenant
+  UNION ALL SELECT substr(md5(tenant), 1, 16), (sum(value_len) * 3)::DECIMAL(20, 0), 0 FROM objects WHERE tenant LIKE '%2' GROUP BY tenant) GROUP BY CASE WHEN i % 3 <> 2 THEN h END, i % 3 = 2""", "objects")
 def quota_file(spark: SparkSession, d: str) -> DataFrame:
-    lines = V.objects(spark, d).groupBy("tenant").agg(F.sum("value_len").alias("n")).select(F.concat(F.substring(F.md5(F.col("tenant").cast("binary")), 1, 16), F.lit(" "), F.col("n") * 2, F.lit(" # limit")).alias("line"))
+    """A quota file in which some lines have a field too many and some tenants come twice."""
+    o = V.objects(spark, d).groupBy("tenant").agg(F.sum("value_len").alias("n"))
+    line = lambda k, tail: F.concat(F.substring(F.md5(F.col("tenant").cast("binary")), 1, 16), F.lit(" "), F.col("n") * k, tail).alias("line")
+    lines = o.select(line(2, F.when(F.col("tenant").endswith("1"), " extra").otherwise(" # limit"))).unionAll(o.where("tenant like '%2'").select(line(3, F.lit("")))).unionAll(o.where("tenant is not null").limit(1).select(F.lit("# comment")))
     return T.parse_quotas(lines)
 
 
@@ -57,20 +62,6 @@ def access_log(spark: SparkSession, d: str) -> DataFrame:
     return T.parse_access_log(o.select(line.alias("line"))).groupBy("op").agg(F.count("*").alias("n"), F.count_if(F.col("result") == "error").alias("errors"), F.round(F.sum("seconds"), 5).alias("seconds"))
 
 
-@Q.add("a19_slot_table", "SELECT verdict, count(*) AS n, sum(len)::BIGINT AS bytes FROM (SELECT CASE doc_id % 5 WHEN 1 THEN 'corrupt' WHEN 2 THEN 'empty' ELSE CASE WHEN value_len = 0 OR value_len > 65536 THEN 'rejected' ELSE 'good' END END AS verdict, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE value_len END AS len FROM objects) GROUP BY verdict", "objects")
-def slot_table(spark: SparkSession, d: str) -> DataFrame:
-    """Slot records of objects, some with a flipped byte or emptied, scanned and judged."""
-    # explode() of one value keeps each digest from being computed for every byte of it that is used
-    keyed = V.objects(spark, d).select("doc_id", "value_len", "ns", F.explode(F.array(I.block_digest(F.col("ns"), F.col("object_key")))).alias("g"))
-    keyed = keyed.select("doc_id", "value_len", "g", F.explode(F.array(I.tenant_hash(F.col("ns")))).alias("tenant"))
-    good = T.slot_record(F.lit(65536), F.substring("g", 1, 16), F.substring("g", 17, 16), F.col("value_len"), F.col("tenant"))
-    keyed = keyed.select("doc_id", F.explode(F.array(good)).alias("good"))
-    good = F.col("good")
-    # a corrupt record: its last byte, which is padding, is no longer 0
-    rec = F.when(F.col("doc_id") % 5 == 1, F.concat(F.substring(good, 1, 63), F.unhex(F.lit("01")))).when(F.col("doc_id") % 5 == 2, F.unhex(F.lit("00" * 64))).otherwise(good)
-    return T.parse_slots(keyed.select(F.explode(F.array(rec)).alias("record")), "record").groupBy("verdict").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
-
-
 @Q.add("a3_membership_codec", "SELECT num, id, '10.0.0.' || num % 250 AS ip, 28000 + num % 100 AS port, weight, 27000 + num % 100 AS tcp_port, 'ver=' || ver AS info, has_stats, CASE WHEN has_stats THEN used_bytes END AS used_bytes, CASE WHEN has_stats THEN num * 3 END AS ram_hits_total FROM members WHERE num % 6 <> 5", "members")
 def membership_codec(spark: SparkSession, d: str) -> DataFrame:
     """Member records written and read back; every sixth is cut short and counts as malformed."""

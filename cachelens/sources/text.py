@@ -1,11 +1,11 @@
-"""Text sources of the fleet: metric exposition, quota and member files, access logs, slot tables."""
+"""Text sources of the fleet: metric exposition, quota and member files, access logs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.functions.identity import escape_label, le
+from cachelens.functions.identity import escape_label
 
 
 def render_samples(df: DataFrame, name: Column, labels: dict[str, Column], value: Column) -> DataFrame:
@@ -26,10 +26,15 @@ def parse_samples(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def parse_quotas(lines: DataFrame, column: str = "line") -> DataFrame:
-    """(tenant_hash, limit_bytes, bad): `<16 hex> <unsigned>` lines; comments and blank lines go, others are bad."""
+    """(tenant_hash, limit_bytes, bad, n): `<16 hex> <unsigned>` lines, n of each tenant; comments and blank lines go.
+
+    Other lines are bad, and so is a tenant that occurs more than once: a file with any bad row is not to be used.
+    """
     text = F.trim(F.regexp_replace(F.col(column), "#.*$", ""))
     good = text.rlike(r"^[0-9a-f]{16}\s+[0-9]{1,20}$")
-    return lines.where(text != "").select(F.when(good, F.substring(text, 1, 16)).alias("tenant_hash"), F.when(good, F.regexp_extract(text, r"(\d+)$", 1).try_cast("decimal(20,0)")).alias("limit_bytes"), (~good).alias("bad"))
+    rows = lines.where(text != "").select(F.when(good, F.substring(text, 1, 16)).alias("tenant_hash"), F.when(good, F.regexp_extract(text, r"(\d+)$", 1).try_cast("decimal(20,0)")).alias("limit_bytes"))
+    known = rows.where("tenant_hash is not null").groupBy("tenant_hash").agg(F.min("limit_bytes").alias("limit_bytes"), F.count("*").alias("n")).withColumn("bad", F.col("n") > 1)
+    return known.unionByName(rows.where("tenant_hash is null").groupBy("tenant_hash").agg(F.min("limit_bytes").alias("limit_bytes"), F.count("*").alias("n")).withColumn("bad", F.lit(True)))
 
 
 def parse_members(text: DataFrame, column: str) -> DataFrame:
@@ -47,29 +52,6 @@ def parse_access_log(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.where(F.col(column).rlike(pattern)).withColumn("at", part(1).try_cast("timestamp")).withColumn("op", part(2)).withColumn("args", part(3)).withColumn("result", part(4)).withColumn("seconds", part(5).try_cast("double"))
 
 
-# Fixed value: the mark of a live slot record, as stored.
-SLOT_MARK = "54534c33"
-
-
-def slot_record(size: Column, digest_hi: Column, digest_lo: Column, length: Column, tenant: Column) -> Column:
-    """A 64-byte slot record: mark, crc32 of the rest, state 1, slot size, digest words, length, tenant (hex words stored little-endian)."""
-    word = lambda h: F.unhex(F.concat(*(F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1))))
-    tail = F.concat(le(F.lit(1), 4), le(size, 4), word(digest_hi), word(digest_lo), le(length, 4), word(tenant))
-    tail = F.rpad(F.hex(tail), 112, "0")
-    body = F.unhex(tail)
-    return F.concat(F.unhex(F.lit(SLOT_MARK)), le(F.crc32(body), 4), body)
-
-
-def parse_slots(df: DataFrame, column: str) -> DataFrame:
-    """df with verdict (good, empty, corrupt, rejected), slot_size, length and digest_hi of slot records."""
-    h = F.lower(F.hex(column))
-    little = lambda at, n: F.conv(F.concat(*(F.substring(h, 2 * (at + i) + 1, 2) for i in range(n - 1, -1, -1))), 16, 10).cast("long")
-    word = lambda at: F.concat(*(F.substring(h, 2 * (at + i) + 1, 2) for i in range(7, -1, -1)))
-    mark, size, length = F.substring(h, 1, 8), little(12, 4), little(32, 4)
-    verdict = F.when(F.octet_length(column) != 64, "rejected").when(mark == "00000000", "empty").when(mark != SLOT_MARK, "rejected").when(F.crc32(F.unhex(F.substring(h, 17, 112))) != little(4, 4), "corrupt").when((little(8, 4) != 1) | (length == 0) | (length > size), "rejected").otherwise("good")
-    return df.withColumn("verdict", verdict).withColumn("slot_size", size).withColumn("length", length).withColumn("digest_hi", word(16))
-
-
 def prefix_successor(prefix: str) -> str:
     """The least string above all that start with a prefix: its last character that has a successor, raised."""
     for i in range(len(prefix) - 1, -1, -1):

@@ -1,4 +1,4 @@
-"""Windowed rates, leases and breakers on streams.
+"""Windowed rates and sessions on streams.
 
 Sources are anything that readStream reads; `drain` runs a query over what is there now and returns
 its sink as a table, which is how batch replays of a stream and tests use it.
@@ -8,14 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from cachelens.operators.policy import Breaker
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -25,8 +20,12 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place of spark.checkpoint.dir; one of our own only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
+    """A new folder in the shared place of spark.checkpoint.dir; one of our own only where that is unset and all run on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="stream-")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -51,23 +50,3 @@ def sessions(ops: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> D
     """Sessions of a connector: runs of operations without a gap."""
     out = ops.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "connector").agg(F.count("*").alias("requests"))
     return out.select("connector", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
-
-
-def breakers(events: DataFrame) -> DataFrame:
-    """events (peer, t_ms, kind, seq) with the peer's cooldown after each; state is one small row a peer.
-
-    Rows of one micro-batch are taken in the order of t_ms and seq.
-    """
-    fields = ("until", "streak", "served")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = Breaker()
-        if state.exists:
-            for name, value in zip(fields, state.get, strict=True):
-                setattr(machine, name, None if value is None or value < 0 else int(value))
-        rows = pd.concat(list(batches)).sort_values(["t_ms", "seq"], kind="stable")
-        rows["cooldown_ms"] = [machine.step(int(t), k) for t, k in zip(rows["t_ms"], rows["kind"], strict=True)]
-        state.update(tuple(-1 if getattr(machine, n) is None else getattr(machine, n) for n in fields))
-        yield rows[["peer", "t_ms", "kind", "seq", "cooldown_ms"]]
-
-    return events.groupBy("peer").applyInPandasWithState(step, "peer string, t_ms long, kind string, seq long, cooldown_ms long", "until long, streak long, served long", "append", GroupStateTimeout.NoTimeout)
