@@ -16,7 +16,7 @@ def test_license_rows_are_judged_alone(spark):
     half = " ".join(BSD.split()[:10])
     rest = " ".join(BSD.split()[10:])
     texts = [(None, half), (None, rest), (5, half), (5, half), (5, half), (6, BSD), (6, BSD), (None, BSD), (7, "long " * 20_000 + "\n" + BSD), *((100 + i, t) for i, t in enumerate(PLAIN))]
-    docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in texts], "doc_id long, text string, license string, row double")
+    docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in texts], "doc_id long, text string, license string, gram double")
     got = [(r["doc_id"], r["license"], r["n_license_paragraphs"]) for r in licenses.with_license(docs).collect()]
     assert len(got) == len(texts)
     found = sorted((x for x in got if x[1]), key=str)
