@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachelens.functions import identity as I
@@ -74,6 +74,36 @@ def membership_codec(spark: SparkSession, d: str) -> DataFrame:
     return out.select("num", "id", "ip", "port", "weight", "tcp_port", "info", "has_stats", "used_bytes", "ram_hits_total")
 
 
+def registrations(m: DataFrame) -> Column:
+    """A record with all tails for each member."""
+    stats = [F.when(F.col("has_stats"), F.col("num") + k) for k in range(len(K.STATS))]
+    return K.registration(F.col("id"), F.concat(F.lit("10.0.0."), F.col("num") % 250), 28000 + F.col("num") % 100, F.col("weight"), 27000 + F.col("num") % 100, F.concat(F.lit("ver="), "ver"), stats)
+
+
+@Q.add("a4_strict_registration", """SELECT num, CASE WHEN e IS NULL THEN id END AS id, CASE WHEN e IS NULL THEN '10.0.0.' || num % 250 || ':' || (28000 + num % 100) END AS endpoint,
+  CASE WHEN e IS NULL THEN weight END AS weight, CASE WHEN e IS NULL THEN 'ver=' || ver END AS info, e AS error
+FROM (SELECT *, CASE num % 6 WHEN 5 THEN 'truncated' WHEN 4 THEN 'truncated' WHEN 3 THEN 'epoch or count' WHEN 2 THEN 'encoding' END AS e FROM members)""", "members")
+def strict_registration(spark: SparkSession, d: str) -> DataFrame:
+    """Registrations read strictly: some are cut in the head, some in the last tail, some have an epoch or a name that is no UTF-8."""
+    m = V.members(spark, d)
+    rec, k = registrations(m), F.col("num") % 6
+    cut = F.substring(rec, F.lit(1), F.octet_length(rec) - 1)
+    epoch = F.concat(F.unhex(F.lit("01")), F.substring(rec, F.lit(2), F.octet_length(rec)))
+    name = F.concat(F.substring(rec, 1, 16), F.unhex(F.lit("FF")), F.substring(rec, F.lit(18), F.octet_length(rec)))
+    out = K.parse_registrations(m.select("num", F.when(k == 5, F.substring(rec, 1, 15)).when(k == 4, cut).when(k == 3, epoch).when(k == 2, name).otherwise(rec).alias("record")), "record", ["num"])
+    return out.select("num", "id", F.concat("ip", F.lit(":"), "port").alias("endpoint"), "weight", "info", "error")
+
+
+@Q.add("a5_member_request", "SELECT num, CASE WHEN num % 4 <> 3 THEN grp END AS grp, CASE WHEN num % 4 <> 3 THEN id END AS id, CASE WHEN num % 4 <> 3 THEN 27000 + num % 100 END AS tcp_port, num % 4 = 3 AS bad FROM members", "members")
+def member_request(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of a group and its member written and read back; every fourth holds the group alone."""
+    m = V.members(spark, d)
+    group = I.framed(F.col("grp"))
+    request = F.when(F.col("num") % 4 == 3, group).otherwise(F.concat(group, registrations(m)))
+    out = K.parse_registrations(m.select("num", request.alias("request")), "request", ["num"], grouped=True)
+    return out.select("num", "grp", "id", "tcp_port", F.col("error").isNotNull().alias("bad"))
+
+
 @Q.add("a16_metric_payload", "SELECT connector, op, '{\"name\":\"cache_keys_total\",\"sum\":{\"aggregationTemporality\":2,\"isMonotonic\":true,\"dataPoints\":[{\"attributes\":[{\"key\":\"op\",\"value\":{\"stringValue\":\"' || op || '\"}}],\"asInt\":\"' || sum(keys)::BIGINT || '\"}]}}' AS payload FROM ops GROUP BY connector, op", "ops")
 def metric_payload(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative sums as JSON of the telemetry protocol."""

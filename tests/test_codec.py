@@ -39,3 +39,16 @@ def test_malformed_records_are_told(spark):
 def test_epoch_hash_and_prefix():
     assert fnv1a(b"") == 1469598103934665603 and member_bytes("a", "b", 1, 2) == b"\1\0\0\0a\1\0\0\0b\1\0\0\0\2\0\0\0"
     assert prefix_successor("/a/") == "/a0"
+
+
+def test_strict_reading_tells_what_is_wrong(spark):
+    data = record(spark)
+    m = K.read_registration(data)
+    assert (m["grp"], m["id"], m["port"], m["tcp_port"], m["info"]) == (None, "node-7", 28001, 28000, "ver=9")
+    assert K.read_registration(struct.pack("<I", 2) + b"eu" + data, grouped=True)["grp"] == "eu"
+    bare = data[: 12 + 4 + 6 + 4 + 8 + 8]
+    assert K.read_registration(bare)["info"] == "-" and K.read_registration(bare + struct.pack("<I", 7))["tcp_port"] == 0
+    cases = {None: "missing", b"": "truncated", data[:-1]: "truncated", b"\1" + data[1:]: "epoch or count", data[:8] + b"\2" + data[9:]: "epoch or count", data.replace(b"node", b"nod\xff"): "encoding"}
+    rows = spark.createDataFrame([(k, None if r is None else bytearray(r)) for k, r in enumerate(cases)], "n long, r binary")
+    assert {r["n"]: r["error"] for r in K.parse_registrations(rows, "r", ["n"]).collect()} == dict(enumerate(cases.values()))
+    assert K.parse_registrations(rows.where("n < 0"), "r", ["n"]).count() == 0
