@@ -25,7 +25,10 @@ BLOCK_BYTES = 1 << 18
 BROADCAST_ROWS = 200_000
 #: Rows of a batch that goes to a Python worker.
 BATCH_ROWS = 1000
+#: Bytes of a batch that goes to a Python worker: very long texts travel a few at a time.
+BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Columns of the documents table.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -49,16 +52,19 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and its size is known to the planner.
 
-    While it is written, texts go to Python in batches of BATCH_ROWS rows, which bounds a worker's memory.
+    While it is written, texts go to Python in batches of BATCH_ROWS rows and about BATCH_BYTES bytes, which
+    bounds a worker's memory and the executor's native buffers.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH_SETTING)
+    before = {k: spark.conf.get(k) for k in (_BATCH_SETTING, _BYTES_SETTING)}
     spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH_SETTING, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +72,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """For a pipeline's session: texts go to Python in batches of BATCH_ROWS rows in whatever it runs, unless it set its own size."""
     if spark.conf.get(_BATCH_SETTING) == "10000":
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+        spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
 
 
 def discard(*tables: DataFrame) -> None:
