@@ -1,7 +1,10 @@
 """Repeated rows, null ids, clashing columns, long texts and held-out figures of the operators."""
 
+import textwrap
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from cachelens.llm import common as C
 from cachelens.llm import decontamination, language_id, licenses, quality_rules, substring_dedup, tool_calls, toxicity, url_filters
@@ -32,6 +35,28 @@ def test_license_unknown_class(spark):
     assert all(licenses.re.search(licenses.TELLING, t) for ts in licenses.TEMPLATES.values() for t in ts)
 
 
+def test_license_texts_without_telling_words(spark):
+    """Shortened notices without any of the telling words are found as well, on one line or wrapped."""
+    cut = [("MIT", "hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"), ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"), ("BSD-3-Clause", "use in source and binary forms, with or without modification, are permitted provided that the following conditions are met")]
+    cut += [(f, "some prose\n# " + t[: t.index(" ", 60)] + "\n# " + t[t.index(" ", 60) + 1 :] + "\nmore") for f, t in cut]
+    assert not any(licenses.re.search(licenses.TELLING, t) for _, t in cut)
+    got = {r["doc_id"]: r for r in licenses.with_license(frame(spark, [*(t for _, t in cut), *PLAIN])).collect()}
+    assert [got[i]["license"] for i in range(len(cut))] == [f for f, _ in cut]
+    assert all(got[i]["n_license_paragraphs"] == 1 for i in range(len(cut)))
+    assert not any(got[len(cut) + i]["license"] for i in range(len(PLAIN)))
+
+
+@pytest.mark.parametrize("width", [1, 20])
+def test_license_narrow_lines(spark, width):
+    """Notices wrapped over more than five lines, down to a word a line, are found once."""
+    notices = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if len(t) > 100]
+    texts = ["some prose\n\n" + "\n".join(textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False)) + "\n\nmore" for _, t in notices]
+    assert all(t.count("\n") > 8 for t in texts)
+    got = {r["doc_id"]: r for r in licenses.with_license(frame(spark, [*texts, *PLAIN])).collect()}
+    assert [(got[i]["license"], got[i]["n_license_paragraphs"]) for i in range(len(texts))] == [(f, 1) for f, _ in notices]
+    assert not any(got[len(texts) + i]["license"] for i in range(len(PLAIN)))
+
+
 def test_url_trees(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     model = url_filters.fit(pages)
