@@ -1,7 +1,9 @@
 """Golden vectors of identities, and properties of the ring."""
 
+import bisect
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from cachelens.functions import identity as I
@@ -60,6 +62,26 @@ def test_ring_edges(spark):
     assert R.route(keys, F.col("key"), R.ring_intervals(empty)).first()["node"] is None
 
 
+@pytest.mark.parametrize("broadcast", [100, 500_000])
+def test_large_ring(spark, monkeypatch, broadcast):
+    """A ring is made and ranked in tasks of bounded size, though its nodes come in one; routes equal a direct search."""
+    monkeypatch.setattr(R, "TASK_POINTS", 2000, raising=False)
+    monkeypatch.setattr(R, "BROADCAST_POINTS", broadcast)
+    nodes = spark.createDataFrame([(f"n{i}", 1 + i % 4, i) for i in range(100)], "node string, weight int, nth int").coalesce(1)
+    points = R.ring_points(nodes)
+    assert points.rdd.getNumPartitions() > 15
+    assert "RoundRobinPartitioning" in points._jdf.queryExecution().executedPlan().toString()
+    ring = sorted((r["point"], r["node"]) for r in points.collect())
+    keys = [f"key_{i}" for i in range(3000)]
+    got = R.route(spark.createDataFrame([(k,) for k in keys], "key string"), F.col("key"), R.ring_intervals(points)).collect()
+    at = {k: bisect.bisect_left(ring, (int.from_bytes(hashlib.md5(k.encode()).digest()[:4], "little"), "")) % len(ring) for k in keys}
+    assert sorted((r["key"], r["node"]) for r in got) == sorted((k, ring[i][1]) for k, i in at.items())
+
+
+def test_buckets_hold_few_points():
+    assert all(n >> (32 - R.bucket_bits(n)) < 8 for n in (0, 1, 160, 40_000, 500_000, 24_000_000, 144_000_000, 1 << 31))
+
+
 def test_plan_has_no_nested_loop(spark, sf_dir):
     from cachelens.plans.registry import QUERIES
 
